@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspan.llm import overlap, pieces, subjects
+from trialspan.llm import leaks, overlap, pieces, subjects
 from trialspan.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_texts(table(spark, sf_dir, "corpus"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p5_found, p5_pieces)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaks.leak_report(leaks.leaked_items(documents, items), documents, items)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p5_found, p5_pieces, p7_found, p7_report)}
 
 #: p5_found is also plain SQL
 SQL: dict[str, str] = {"p5_found": "SELECT row_id FROM corpus WHERE length(text) > 6000"}
