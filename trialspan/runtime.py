@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_trialspan_shipped", False):
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="trialspan-")) / "trialspan.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, f"{here.name}/{path.relative_to(here)}")
+    context.addPyFile(str(archive))
+    context._trialspan_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, with pushdown left to Catalyst."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
