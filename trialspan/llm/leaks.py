@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -170,8 +172,10 @@ class _Items:
             for a, b in spans:
                 area = ids[a:b].tolist()
                 bits = [at.get(w, 0) for w in area]
-                share, s = max((common_in_order(n, bits[s : s + span]) / n, s) for s in range(0, max(1, len(area) - span + step), step))
-                if share < SHARE - 0.05:  # a window between the steps may hold some words more
+                nearly = SHARE - 0.05  # a window between the steps may hold some words more
+                starts = [s for s in range(0, max(1, len(area) - span + step), step) if reduce(or_, bits[s : s + span]).bit_count() >= nearly * n]
+                share, s = max(((common_in_order(n, bits[s : s + span]) / n, s) for s in starts), default=(0.0, 0))
+                if share < nearly:
                     continue
                 tiled = ordered_cover(tiles(item, area)) / n
                 if tiled >= TILED:
@@ -191,8 +195,8 @@ def _search(block: list[tuple[int, str]]):
         known = items.vocabulary.get
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([known(w, 0) for w in words_of(text.as_py())], np.int64)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.array([known(w, 0) for w in words_of(text)], np.int64)
                 unknown = ids == 0
                 ids[unknown] = -1 - np.nonzero(unknown)[0]
                 rows += [(doc, *found) for found in items.leaked(ids)]

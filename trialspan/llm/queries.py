@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspan.llm import leaks, overlap, pieces, subjects
+from trialspan.llm import leaks, overlap, pieces, residue, subjects
 from trialspan.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(documents, items), documents, items)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p5_found, p5_pieces, p7_found, p7_report)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.evidence(table(spark, sf_dir, "documents"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.clean_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p5_found, p5_pieces, p7_found, p7_report, p8_found, p8_evidence, p8_clean)}
 
 #: p5_found is also plain SQL
 SQL: dict[str, str] = {"p5_found": "SELECT row_id FROM corpus WHERE length(text) > 6000"}

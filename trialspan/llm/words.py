@@ -22,11 +22,11 @@ for _c in range(sys.maxunicode + 1):
 for _a, _b in LOOK_ALIKES.items():
     _FOLD[ord(_a)] = _b
 
-#: tags, character references and the dashes that join a word over a line end
+#: tags and character references
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
-_REFERENCE = re.compile(r"&(?:nbsp|ensp|emsp|thinsp|shy|zwj|zwnj|amp|lt|gt|quot|#)")
 _WIDE = r"぀-ヿ㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -36,4 +36,4 @@ def words_of(text: str) -> list[str]:
         text = _TAG.sub(lambda m: "" if m.group() in ("&shy;", "&zwj;", "&zwnj;") or m.group()[0] == "<" else " ", text)
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
-    return _WORD.findall(unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower()).translate(_FOLD))
+    return _WORD.findall(_BEYOND.sub(lambda m: m.group().translate(_FOLD), unicodedata.normalize("NFKD", text).lower()))
