@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspan.llm import leaks, overlap, pieces, residue, subjects
+from trialspan.llm import leaks, overlap, pieces, residue, subjects, truncation
 from trialspan.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(overlap.crossing_pairs(manifest), manifest)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "corpus")).where("cut").select("row_id")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf_dir, "corpus"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.oversized(table(spark, sf_dir, "corpus"))
 
@@ -58,7 +66,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.clean_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p5_found, p5_pieces, p7_found, p7_report, p8_found, p8_evidence, p8_clean)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p4_found, p4_report, p5_found, p5_pieces, p7_found, p7_report, p8_found, p8_evidence, p8_clean)}
 
 #: p5_found is also plain SQL
 SQL: dict[str, str] = {"p5_found": "SELECT row_id FROM corpus WHERE length(text) > 6000"}
