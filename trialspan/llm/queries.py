@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspan.llm import leaks, overlap, pieces, residue, subjects, truncation
+from trialspan.llm import leaks, overlap, packing, pieces, residue, subjects, tokens, truncation
 from trialspan.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_budget(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "session_nll"))
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "documents"))
+
+
+def p1_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.answer_tokens(table(spark, sf_dir, "session_nll"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.same_participant_pairs(table(spark, sf_dir, "session_manifest"), table(spark, sf_dir, "subject_links"))
 
@@ -45,6 +57,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_texts(table(spark, sf_dir, "corpus"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.packed_documents(table(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -66,7 +86,22 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.clean_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p4_found, p4_report, p5_found, p5_pieces, p7_found, p7_report, p8_found, p8_evidence, p8_clean)}
-
-#: p5_found is also plain SQL
-SQL: dict[str, str] = {"p5_found": "SELECT row_id FROM corpus WHERE length(text) > 6000"}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_budget, p1_records, p1_answers, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_report,
+        p5_found, p5_pieces, p6_packed, p6_fill, p7_found, p7_report, p8_found, p8_evidence, p8_clean,
+    )
+}
+
+#: queries that plain SQL can state
+SQL: dict[str, str] = {
+    "p5_found": "SELECT row_id FROM corpus WHERE length(text) > 6000",
+    "p1_answers": """
+        WITH last AS (
+            SELECT model, prompt_id, n_answer_tokens, nullif(regexp_replace(lower(trim(experiment)), '[-\\s]+', '_', 'g'), '') AS experiment,
+                   row_number() OVER (PARTITION BY model, prompt_id ORDER BY scored_at DESC NULLS LAST, n_answer_tokens DESC NULLS LAST, experiment DESC NULLS LAST) AS nth
+            FROM session_nll)
+        SELECT experiment, model, count(*) AS n_sessions, CAST(coalesce(sum(n_answer_tokens), 0) AS BIGINT) AS n_answer_tokens
+        FROM last WHERE nth = 1 GROUP BY experiment, model""",
+}

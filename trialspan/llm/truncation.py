@@ -29,7 +29,8 @@ SIGN = r"(?:\s*(?:…|\.{3,}|\[(?:\.{3}|…)\]|\((?:\.{3}|…)\)|\[\+?\s?\d+ (?:
 BROKEN = r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#?[A-Za-z0-9]{0,8}|<[^<>\n]{0,20}|<<[^<>\n]{0,20}>?)$"
 STOP = r"[.!?。！？][\"”»“')\]>」』]*$"
 _NEXT = r" (?<=[.!?] )|[\r\n]+"
-_TOKEN = r"<<|>>|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}]+|9\.9|9|[^\s]"
+# letters of Latin scripts make words; characters of other scripts are tokens each
+_TOKEN = r"[A-Za-zÀ-ɏ]+|9\.9|9|<<|>>|[^\s]"
 
 
 #: signs and broken parts are looked for in so many last code points
@@ -42,25 +43,28 @@ def trimmed(text: Column) -> Column:
 
 
 def _tokens(segment: Column) -> Column:
-    """Two start marks and the words, numbers and signs of a segment; capitalised words inside it are one class."""
-    names = F.regexp_replace(segment, r"(?<=[\p{L}\p{N},:;>] )\p{Lu}[\p{Ll}\p{M}]+", "Aa")
-    return F.concat(F.array(F.lit(_START), F.lit(_START)), F.regexp_extract_all(names, F.lit(_TOKEN), F.lit(0)))
+    """Two start marks and the words, numbers and signs of a segment."""
+    return F.concat(F.array(F.lit(_START), F.lit(_START)), F.regexp_extract_all(segment, F.lit(_TOKEN), F.lit(0)))
 
 
 def _trigrams(tokens: str) -> Column:
-    """Hashes of the trigrams that end at the third token and later ones; a word that comes first counts as any word."""
+    """Hashes of the trigrams that end at the third token and later ones.
+
+    A word that comes first counts as any word, a capitalised second one as any name.
+    """
     zipped = f"arrays_zip({', '.join(f'slice({tokens}, {k}, size({tokens}) - 2)' for k in (1, 2, 3))})"
-    first = "if(ascii(x['0']) >= 97 and ascii(x['0']) <= 122 or ascii(x['0']) >= 65 and ascii(x['0']) <= 90 or ascii(x['0']) > 191, 'w', x['0'])"
-    return F.expr(f"transform({zipped}, x -> xxhash64({first}, x['1'], x['2']))")
+    first = "if(ascii(x['0']) >= 65 and ascii(x['0']) <= 122 or ascii(x['0']) > 191, 'w', x['0'])"
+    second = "if(ascii(x['1']) >= 65 and ascii(x['1']) <= 90, 'A', x['1'])"
+    return F.expr(f"transform({zipped}, x -> xxhash64({first}, {second}, x['2']))")
 
 
 def judged(corpus: DataFrame) -> DataFrame:
     """Every row with what speaks for a cut: (row_id, source, cut, reason).
 
     Reasons, the first that holds: ``spans`` (more spans stated than held), ``sign``, ``broken``
-    (a character, escape, reference or marker is incomplete), ``segment`` (the last segment is the
-    beginning of another segment of the same text), ``trigram`` (the final trigram is frequent
-    inside texts and almost never last) and ``open`` (no full stop, and the final trigram is no
+    (a character, escape, reference or marker is incomplete), ``trigram`` (the final trigram is
+    frequent inside texts and almost never last), ``segment`` (the last segment is the beginning
+    of another segment of the same text) and ``open`` (no full stop, and the final trigram is no
     regular end). ``cut`` is never null; null and blank texts are not cut
     unless they lack stated spans. Repeated rows are judged each. An empty table gives no rows.
     """
@@ -68,10 +72,8 @@ def judged(corpus: DataFrame) -> DataFrame:
     rows = corpus.select("row_id", "source", "n_answer_spans", body.alias("body"))
     rows = rows.withColumn("tail", F.substring("body", F.greatest(F.length("body") - TAIL + 1, F.lit(1)), F.lit(TAIL)))
 
-    def count(sign: str) -> Column:
-        return (F.length("body") - F.length(F.replace("body", F.lit(sign), F.lit("")))) / 2
-
-    spans = F.coalesce(F.col("n_answer_spans") > F.least(count("<<"), count(">>")), F.lit(False))
+    closed = (F.length("body") - F.length(F.replace("body", F.lit(">>"), F.lit("")))) / 2
+    spans = F.coalesce(F.col("n_answer_spans") > closed, F.lit(False))
     stopped = F.col("tail").rlike(STOP) | (F.col("body") == "")
     marks = F.when(spans, "spans").when(F.col("tail").rlike(SIGN), "sign").when(F.col("tail").rlike(BROKEN), "broken")
     # other segments of the text that go on where the last one ends, as "gain 55.0, penalty" does behind "gain 55."
@@ -85,10 +87,9 @@ def judged(corpus: DataFrame) -> DataFrame:
 
     begun = (F.length("end") > 1) & (held(F.col("lines"), F.col("end")) - 1 > held(F.col("lines"), F.concat("end", F.lit(_CLOSE))))
     last = F.element_at(F.filter(F.split(F.regexp_replace("tail", r"\d+", "9"), _NEXT), lambda s: F.trim(s) != ""), -1)
-    marks = F.coalesce("mark", F.when(begun, "segment"))
-    rows = rows.select("row_id", "source", marks.alias("mark"), stopped.alias("stopped"), F.slice(_tokens(last), -3, 3).alias("tokens"))
+    rows = rows.select("row_id", "source", "mark", F.coalesce(begun, F.lit(False)).alias("begun"), stopped.alias("stopped"), F.slice(_tokens(last), -3, 3).alias("tokens"))
     trigram = F.when(F.col("mark").isNull() & ~F.col("stopped"), F.element_at(_trigrams("tokens"), 1))
-    asked = cut(rows.select("row_id", "source", "mark", "stopped", trigram.alias("trigram")))
+    asked = cut(rows.select("row_id", "source", "mark", "begun", "stopped", trigram.alias("trigram")))
 
     segments = corpus.select(F.explode(F.split(F.regexp_replace(trimmed(F.col("text")), r"\d+", "9"), _NEXT)).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
     made = segments.where("trim(segment) <> ''").select("n", _tokens(F.col("segment")).alias("tokens"))
@@ -99,7 +100,10 @@ def judged(corpus: DataFrame) -> DataFrame:
     told = asked.join(known, "trigram", "left")
     inside = F.expr(f"places - line_ends >= {FREQUENT} and ends <= {RARELY_LAST} * places")
     regular = F.expr(f"ends > {REGULAR_ENDS} and line_ends >= {REGULAR_SHARE} * places")
-    reason = F.coalesce("mark", F.when(~F.col("stopped"), F.when(inside, "trigram").when(F.coalesce(~regular, F.lit(True)), "open")))
+    reason = F.coalesce(
+        "mark", F.when(~F.col("stopped") & inside, "trigram"), F.when(F.col("begun"), "segment"),
+        F.when(~F.col("stopped") & F.coalesce(~regular, F.lit(True)), "open"),
+    )
     return told.select("row_id", "source", reason.isNotNull().alias("cut"), reason.alias("reason"))
 
 
