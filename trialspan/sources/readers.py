@@ -21,8 +21,9 @@ def sound_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a file that may end in the middle of one: lines that cannot be read are left out."""
     corrupt = "_corrupt"
     full = T._parse_datatype_string(schema).add(corrupt, "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
-    return rows.cache().where(F.col(corrupt).isNull()).drop(corrupt)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("r"))
+    return rows.where(F.col(f"r.{corrupt}").isNull()).select("r.*").drop(corrupt)
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
