@@ -28,14 +28,14 @@ def total(xs: Column) -> Column:
 
 
 def logsumexp(xs: Column) -> Column:
-    top = F.array_max(xs)
-    return top + F.log(total(F.transform(xs, lambda x: F.exp(x - top))))
+    """log of the sum of exponentials, shifted by the maximum; a constant inside a lambda would be computed for each element, so it is zipped."""
+    top = F.array_repeat(F.array_max(xs), F.size(xs))
+    return F.array_max(xs) + F.log(total(F.zip_with(xs, top, lambda x, t: F.exp(x - t))))
 
 
 def softmax(xs: Column) -> Column:
-    top = F.array_max(xs)
-    powers = F.transform(xs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    z = F.array_repeat(logsumexp(xs), F.size(xs))
+    return F.zip_with(xs, z, lambda x, z: F.exp(x - z))
 
 
 def mass(logs: Column) -> Column:

@@ -148,12 +148,15 @@ def cut_at_markers(text: str, limit: int, tokenize: Callable[[str], list[tuple[i
     return chunks
 
 
-def marker_chunks(df: DataFrame, text: str, limit: int = 8192, tokenize: Callable[[str], list[tuple[int, int]]] = tokens_of_four) -> DataFrame:
-    """``df`` with ``chunk_idx``, ``n_chunks``, ``chunk`` and ``chunk_tokens`` of each text; null texts have no chunk."""
+def marker_chunks(df: DataFrame, text: str, limit: int = 8192, tokenize: Callable[[str], list[tuple[int, int]]] = tokens_of_four, safety: int = 64) -> DataFrame:
+    """``df`` with ``chunk_idx``, ``n_chunks``, ``chunk`` and ``chunk_tokens`` of each text; null texts have no chunk.
+
+    ``safety`` tokens are kept free, as a chunk may have more tokens than its atoms.
+    """
 
     @pandas_udf("array<struct<chunk:string,chunk_tokens:int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"chunk": c, "chunk_tokens": len(tokenize(c))} for c in cut_at_markers(t, limit, tokenize)])
+        return texts.map(lambda t: [] if t is None else [{"chunk": c, "chunk_tokens": len(tokenize(c))} for c in cut_at_markers(t, limit - safety, tokenize)])
 
     parts = df.withColumn("_parts", cut(F.col(text)))
     out = parts.select(*df.columns, F.size("_parts").alias("n_chunks"), F.posexplode("_parts").alias("chunk_idx", "_part"))

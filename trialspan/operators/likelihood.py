@@ -15,8 +15,8 @@ def top_alternatives(logs: Column, k: int) -> Column:
 
 def log_probabilities(values: Column) -> Column:
     """Log-softmax of an array of scores."""
-    z = logsumexp(values)
-    return F.transform(values, lambda x: x - z)
+    z = F.array_repeat(logsumexp(values), F.size(values))  # as an array, so that it is computed once a row
+    return F.zip_with(values, z, lambda x, z: x - z)
 
 
 def token_map(tokens: Column, logs: Column) -> Column:

@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 IGNORED = -100
 
 
-def token_offsets(text: Column, pattern: str = r"<<|>>|[A-Za-z0-9]+|[^A-Za-z0-9\s]") -> Column:
-    """(start, end) of tokens by a pattern that takes every character that is no blank; for use where no tokenizer is given."""
-    parts = F.regexp_extract_all(text, F.lit(rf"\s*(?:{pattern})"), F.lit(0))
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    return F.transform(parts, lambda p, i: F.struct((F.get(ends, i) + F.length(p) - F.length(F.ltrim(p))).alias("start"), F.get(ends, i + 1).alias("end")))
+_TOKEN = re.compile(r"<<|>>|[A-Za-z0-9]+|[^A-Za-z0-9\s]")
+_SPAN = re.compile(r"<<\s*(.*?)\s*>>", re.S)
+
+
+def token_offsets(text: str) -> np.ndarray:
+    """(start, end) of words, markers and single signs; for use where no tokenizer is given."""
+    return np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
 
 
-def in_span(token: Column, spans: Column) -> Column:
-    """Whether the token overlaps a span: it ends behind the span's start and starts before its end."""
-    return F.exists(spans, lambda s: (token["end"] > s["start_char"]) & (token["start"] < s["end_char"]))
+def overlapping(tokens: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Which tokens overlap a span: the token ends behind the span's start and starts before its end.
+
+    The spans are in order and do not overlap, so one search by end and one by start tell it.
+    Spans without characters overlap the token that they stand within.
+    """
+    if not len(tokens) or not len(spans):
+        return np.zeros(len(tokens), bool)
+    ended = np.searchsorted(spans[:, 1], tokens[:, 0], "right")
+    begun = np.searchsorted(spans[:, 0], tokens[:, 1], "left")
+    return begun > ended
+
+
+def answer_labels(df: DataFrame, key: str, text: str, tokenize: Callable[[str], np.ndarray] = token_offsets) -> DataFrame:
+    """(key, n_tokens, n_spans, ids, labels): token numbers, and the same within answer spans, else the ignored label.
+
+    Null texts have no row; a text without spans has ignored labels only.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, n_spans = [], [], []
+            for t in batch.column(1).to_pylist():
+                spans = np.array([m.span(1) for m in _SPAN.finditer(t)], np.int64).reshape(-1, 2)
+                tokens = tokenize(t)
+                numbers = np.arange(len(tokens))
+                ids.append(numbers)
+                labels.append(np.where(overlapping(tokens, spans), numbers, IGNORED))
+                n_spans.append(len(spans))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array(n_spans, pa.int32()), pa.array(ids, kind), pa.array(labels, kind)],
+                names=[key, "n_tokens", "n_spans", "ids", "labels"],
+            )
 
-def labels(ids: Column, tokens: Column, spans: Column) -> Column:
-    """The id of each token within a span, else the ignored label."""
-    return F.transform(F.arrays_zip(ids.alias("id"), tokens.alias("t")), lambda x: F.when(in_span(x["t"], spans), x["id"]).otherwise(IGNORED))
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, n_tokens int, n_spans int, ids array<long>, labels array<long>")
 
 
 def collate(rows: DataFrame, position: str, ids: str, labelled: str, batch: int, multiple: int = 8, pad: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspan.functions import text as T
 from trialspan.operators import corpus as K, gates, masks, prompts as P
@@ -146,10 +146,8 @@ def deck_labels_stored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_mask_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _corpus(spark, sf).where("text IS NOT NULL").select("row_id", masks.token_offsets(F.col("text")).alias("tokens"), P.spans(F.col("text")).alias("spans"))
-    rows = rows.withColumn("ids", F.transform("tokens", lambda t, i: i))
-    lab = rows.select("row_id", F.size("tokens").alias("n_tokens"), masks.labels(F.col("ids"), F.col("tokens"), F.col("spans")).alias("labels"), F.size("spans").alias("n_spans"))
-    return lab.select("row_id", "n_tokens", "n_spans", F.size(F.filter("labels", lambda x: x != masks.IGNORED)).alias("n_answer_tokens"))
+    rows = masks.answer_labels(_corpus(spark, sf), "row_id", "text")
+    return rows.select("row_id", "n_tokens", "n_spans", F.size(F.filter("labels", lambda x: x != masks.IGNORED)).alias("n_answer_tokens"))
 
 
 def collated_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,11 +196,8 @@ def whitelist_ordered_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
-    order = W.partitionBy("prompt_id").orderBy("pos")
     rows = _manifest(spark, sf).where("size(trials) > 0").select("row_id", "prompt_id", F.posexplode("trials").alias("pos", "t"))
-    del order
-    gains = rows.groupBy("row_id").agg(F.count("*").alias("n_trials"), F.sum(F.when(F.col("pos") % 2 == 0, 1).otherwise(0)).alias("n_even"), F.max("pos").alias("last_pos"))
-    return gains
+    return rows.groupBy("row_id").agg(F.count("*").alias("n_trials"), F.sum(F.when(F.col("pos") % 2 == 0, 1).otherwise(0)).alias("n_even"), F.max("pos").alias("last_pos"))
 
 
 def corpus_provenance(spark: SparkSession, sf: str) -> DataFrame:
