@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 DECKS = ("A", "B", "C", "D")
@@ -27,7 +27,7 @@ def hashed_labels(subject: Column) -> Column:
     return F.transform(F.slice(F.array_sort(pool), 1, 4), lambda s: s["c"])
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def seeded_labels(subjects: pd.Series) -> pd.Series:
     """Four letters drawn by Python's generator, seeded with the hash of the subject's id; null for a null id."""
     import hashlib
@@ -52,7 +52,7 @@ def rendered(trials: Column, labels: Column, currency: str = " points") -> Colum
 
 
 _SPAN = re.compile(r"<<\s*(.*?)\s*>>", re.S)
-_SPANS = "array<struct<trial_index:int,target_text:string,start_char:int,end_char:int>>"
+_SPANS = T.ArrayType(T.StructType([T.StructField("trial_index", T.IntegerType()), T.StructField("target_text", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
 
 
 @pandas_udf(_SPANS)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from trialspan.functions.numbers import hash_draw, percentile_at_floor, t_survival
@@ -15,7 +15,7 @@ from trialspan.functions.numbers import hash_draw, percentile_at_floor, t_surviv
 SEED = 20260506
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     """Survival function of Student's t."""
     return pd.Series([t_survival(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)])
