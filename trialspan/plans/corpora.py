@@ -269,5 +269,5 @@ SQL = {
     "collated_batches": """WITH d AS (SELECT doc_id - 1 AS pos, regexp_split_to_array(coalesce(text, ''), '\\s+') AS w FROM documents), l AS (SELECT pos // 8 AS batch_id, least(len(w), 4096) AS n FROM d)
         SELECT batch_id, count(*) AS n_rows, CAST(ceil(max(n) / 8.0) * 8 AS INTEGER) AS width, CAST(ceil(max(n) / 8.0) * 8 AS INTEGER) AS least_width, CAST(sum(n) AS BIGINT) AS n_attended FROM l GROUP BY batch_id""",
     "missing_log_gate": """WITH b AS (SELECT prompt_id FROM session_manifest WHERE coalesce(len(trials), 0) = 0), f AS (SELECT DISTINCT prompt_id FROM b WHERE prompt_id IS NOT NULL ORDER BY 1 LIMIT 10)
-        SELECT (SELECT count(*) FROM b) AS n_missing, (SELECT list(prompt_id ORDER BY prompt_id) FROM f) AS first_keys""",
+        SELECT (SELECT count(*) FROM b) AS n_missing, coalesce((SELECT list(prompt_id ORDER BY prompt_id) FROM f), []) AS first_keys""",
 }
