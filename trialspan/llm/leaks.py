@@ -211,11 +211,11 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     Columns doc_id, item_id, first_word (where the stretch begins, in words), tiled and share.
     The items are the stated query set: they are read in blocks of ``BLOCK``, each of which goes
     over all documents, so what is sent to the executors is bounded. Every document stands for
-    itself, copies too. Null or empty texts on either side are in no pair, nor are items of fewer
+    itself, copies too. Null or empty texts and null ids on either side are in no pair, nor are items of fewer
     than ``SEED`` words; repeated item rows with one id are compared each, and a pair is stated once.
     """
     spark: SparkSession = documents.sparkSession
-    lean = documents.select(F.col("doc_id"), F.col("text")).where("text IS NOT NULL AND text <> ''")
+    lean = documents.select(F.col("doc_id"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     query = items.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     found, block = [], []
     for row in query.orderBy("item_id").toLocalIterator():

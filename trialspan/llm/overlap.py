@@ -165,7 +165,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def coded_sessions(manifest: DataFrame) -> DataFrame:
     """Rows of a split with at least ``LEAST_TRIALS`` trials, with class, fingerprint and trials."""
     side = split_name(F.col("split"))
-    chosen = manifest.where((F.size("trials") >= LEAST_TRIALS) & side.isNotNull())
+    chosen = manifest.where((F.size("trials") >= LEAST_TRIALS) & side.isNotNull() & F.col("row_id").isNotNull())
     flat = chosen.select("row_id", side.alias("side"), F.col("trials.gain").alias("gain"), F.col("trials.loss").alias("loss"))
     return flat.mapInArrow(_code, _CODED)
 

@@ -176,9 +176,9 @@ def evidence(documents: DataFrame) -> DataFrame:
 
     ``kind`` is ``error``, ``script``, ``filler`` or ``field``; ``line`` is normalised (lower
     case, blanks joined, numbers as 0). Lines that recur beside content on their host are
-    subtracted. Null and blank texts hold no evidence; a null source is a host of its own.
+    subtracted. Null and blank texts, and rows without an id, hold no evidence; a null source is a host of its own.
     """
-    texts = documents.select("doc_id", "source", "text").where("text IS NOT NULL AND text <> ''")
+    texts = documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     found = texts.mapInArrow(_scan, _FOUND)
     hosts = documents.groupBy("source").agg(F.count("*").alias("host_documents"))
     beside = F.avg((F.col("content_words") >= CONTENT_WORDS).cast("double"))
