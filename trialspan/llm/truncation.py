@@ -86,9 +86,9 @@ def judged(corpus: DataFrame) -> DataFrame:
         return (F.length(text) - F.length(F.replace(text, sought, F.lit("")))) / F.length(sought)
 
     begun = (F.length("end") > 1) & (held(F.col("lines"), F.col("end")) - 1 > held(F.col("lines"), F.concat("end", F.lit(_CLOSE))))
-    last = F.element_at(F.filter(F.split(F.regexp_replace("tail", r"\d+", "9"), _NEXT), lambda s: F.trim(s) != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.regexp_replace("tail", r"\d+", "9"), _NEXT), lambda s: F.trim(s) != ""), F.lit(-1))
     rows = rows.select("row_id", "source", "mark", F.coalesce(begun, F.lit(False)).alias("begun"), stopped.alias("stopped"), F.slice(_tokens(last), -3, 3).alias("tokens"))
-    trigram = F.when(F.col("mark").isNull() & ~F.col("stopped"), F.element_at(_trigrams("tokens"), 1))
+    trigram = F.when(F.col("mark").isNull() & ~F.col("stopped"), F.try_element_at(_trigrams("tokens"), F.lit(1)))
     asked = cut(rows.select("row_id", "source", "mark", "begun", "stopped", trigram.alias("trigram")))
 
     segments = corpus.select(F.explode(F.split(F.regexp_replace(trimmed(F.col("text")), r"\d+", "9"), _NEXT)).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
