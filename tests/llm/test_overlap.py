@@ -95,3 +95,17 @@ def test_hot_class(spark):
     s = session(40)
     df = spark.createDataFrame([(i, s, "train" if i % 2 else "test", "e", "b", "c") for i in range(60)], SCHEMA)
     assert O.crossing_pairs(df).count() == 900
+
+
+def test_evenly_spread_edits_of_repetitive_sessions(spark):
+    rng, out = np.random.default_rng(9), []
+    for i in range(150):
+        n = int(rng.integers(80, 150))
+        s = [("A", float(g), float(x)) for g, x in zip(rng.choice([50, 100], n), rng.choice([0, 0, 0, 50], n))]
+        near, edits = list(s), int(0.1 * n)
+        for j in range(edits):
+            near[(2 * j + 1) * n // (2 * edits)] = s[int(rng.integers(n))] if i % 2 else ("A", 75.0 + j, 1250.0)
+        out += [(2 * i, s, "train"), (2 * i + 1, near, "test")]
+    df = spark.createDataFrame([(*r, "e", "b", "c") for r in out], SCHEMA)
+    got = {(r.row_id_a, r.row_id_b) for r in O.crossing_pairs(df).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(150)} <= got

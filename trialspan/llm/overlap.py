@@ -1,24 +1,22 @@
 """Sessions that stand, exactly or almost, on both sides of a train and evaluation split.
 
-Method: similarity-hash bit fingerprints. Every distinct trial sequence gets two codes:
-
-* ``BLOCKS`` code blocks of 32 bits; block j is the weighted min-hash of the session's runs of
-  ``GRAM`` trials. Sequences of the two sides are joined on equal blocks.
-* ``BUCKETS`` * 8 histogram bits: the trials are hashed to buckets, and a bucket with c trials has
-  its lowest min(c, 8) bits set. One edit turns at most two of these bits, so sequences within
-  distance d lie within Hamming radius 2 d, without exception.
-
-Pairs with ``LEAST_EQUAL`` equal blocks within the radius get their edit distance computed exactly.
-
-The blocks are min-hashes and not sign bits of random projections: edits of a tenth of the trials
-turn about a fifth of the sign bits, so no block of useful width would survive, whereas about a
-third of the runs, and so of the blocks, stays equal.
+Method: exact candidates by the pigeonhole principle. The sequence in train is cut into D + 1 +
+``SPARE`` segments of equal length, D being the largest distance it can have to any sequence
+within the share; d edits leave all segments but d as they are, moved by at most the distance.
+Every distinct sequence is joined on equal segments with the windows of the same length of the
+sequences in evaluation splits, without exception and whatever trials are edited.
+
+Pairs that share as many segments as d edits must leave are kept if their lengths and histogram bits allow the distance:
+the trials are hashed to ``BUCKETS`` buckets, and a bucket with c trials has its lowest min(c, 8)
+bits set. One edit turns at most two of these bits, so sequences within distance d lie within
+Hamming radius 2 d. What is left gets its edit distance computed exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +24,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspan.runtime import cut
 
-BLOCKS = 32
-GRAM = 5
 LEAST_TRIALS = 20
 SHARE = 0.1
-#: equal blocks that a pair must have. Edits of a tenth, spread as evenly as they can be, leave 0.31
-#: of the runs; a pair then has fewer than 3 equal blocks with a probability of 0.0008, and a pair
-#: with edits of 0.07 with one under 0.000001.
-LEAST_EQUAL = 3
+#: segments beyond those needed for one in common: more must be shared, but they are shorter
+SPARE = 1
 BUCKETS = 32
-LOWS = [f"low{i}" for i in range(BLOCKS // 8)]
 WORDS = [f"bits{i}" for i in range(BUCKETS // 8)]
 #: gains above this are hundredths
 HUNDREDTHS_FROM = 1000.0
@@ -86,42 +79,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sessions, BLOCKS) of 32-bit blocks. Runs of few different trials weigh less.
+def most_edits(n: int) -> int:
+    """The largest distance within the share that a sequence of ``n`` trials has to one as long or shorter."""
+    return int(SHARE * n + 1e-9)
 
-    A run's weight depends on the run alone: it grows with the number of different trials in it
-    and with the number of losses, as runs of one repeated trial stand in unrelated sessions.
-    """
-    n = len(starts) - 1
-    out = np.zeros((n, BLOCKS), np.uint32)
-    sizes = np.diff(starts)
-    if n == 0 or len(codes) < GRAM:
-        return out
+
+@cache
+def edits_of(n: int) -> int:
+    """The largest distance within the share that a sequence of ``n`` trials has to any, the longer ones included."""
+    longest = n
+    while longest + 1 - most_edits(longest + 1) <= n:
+        longest += 1
+    return most_edits(longest)
+
+
+@cache
+def segments(n: int) -> tuple[int, np.ndarray]:
+    """Length and starts of the ``edits_of(n)`` + 1 + ``SPARE`` disjoint segments of a sequence of ``n`` trials."""
+    parts = edits_of(n) + 1 + SPARE
+    return n // parts, np.arange(parts) * n // parts
+
+
+@cache
+def window_lengths(n: int) -> list[int]:
+    """Lengths of the segments of all sequences that one of ``n`` trials can be near to."""
+    near = range(max(LEAST_TRIALS, n - most_edits(n)), n + edits_of(n) + 1)
+    return sorted({segments(m)[0] for m in near})
+
+
+def _run_keys(codes: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the run of ``length`` trials from each place on."""
     item = _mixed(codes.view(np.uint64))
-    spots = len(codes) - GRAM + 1
-    run = np.zeros(spots, np.uint64)
-    for j in range(GRAM):
+    spots = max(len(codes) - length + 1, 0)
+    run = np.full(spots, length, np.uint64)
+    for j in range(length):
         run = _mixed(run * np.uint64(31) + item[j : j + spots])
-    window = np.lib.stride_tricks.sliding_window_view(codes, GRAM)
-    ordered = np.sort(window, axis=1)
-    kinds = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
-    lost = ((window & 0xFFFFFFFF) != 0).sum(axis=1)
-    weight = 4.0 ** (kinds - GRAM) * 3.0 ** (np.minimum(lost, 3) - 3)
-    session = np.repeat(np.arange(n), sizes)
-    inside = session[:spots] == session[GRAM - 1 :]
-    run, weight, owner = run[inside], weight[inside], session[:spots][inside]
-    firsts = np.searchsorted(owner, np.arange(n))
-    counts = np.diff(np.append(firsts, len(owner)))
-    some = counts > 0
-    for b in range(BLOCKS):
-        h = _mixed(run ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        draw = -np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / weight
-        least = np.minimum.reduceat(draw, firsts[some])
-        hit = draw == np.repeat(least, counts[some])
-        who = owner[hit]
-        first = np.append(True, who[1:] != who[:-1])
-        out[who[first], b] = (h[hit][first] >> np.uint64(32)).astype(np.uint32)
-    return out
+    return run.view(np.int64)
+
+
+def run_keys(codes: np.ndarray, starts: np.ndarray, windows: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(session, key, place) of the segments of each session, or of all windows that may equal a segment of another."""
+    spots: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, n in enumerate(np.diff(starts).tolist()):
+        for length in window_lengths(n) if windows else [segments(n)[0]]:
+            spots.setdefault(length, []).append((i, np.arange(n - length + 1) if windows else segments(n)[1]))
+    out = []
+    for length, found in spots.items():
+        session = np.repeat([i for i, _ in found], [len(p) for _, p in found])
+        place = np.concatenate([p for _, p in found])
+        out.append((session, _run_keys(codes, length)[starts[session] + place], place))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def histogram_bits(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,10 +141,10 @@ def histogram_bits(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return filled.view(np.int64).reshape(n, BUCKETS // 8)
 
 
-_CODED = "row_id long, side string, class binary, n int, blocks array<int>, codes binary, " + ", ".join(f"{w} long" for w in LOWS + WORDS)
+_CODED = "row_id long, side string, class binary, n int, codes binary, " + ", ".join(f"{w} long" for w in WORDS)
 _SCHEMA = pa.schema(
-    [("row_id", pa.int64()), ("side", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("blocks", pa.list_(pa.int32())), ("codes", pa.binary())]
-    + [(w, pa.int64()) for w in LOWS + WORDS]
+    [("row_id", pa.int64()), ("side", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("codes", pa.binary())]
+    + [(w, pa.int64()) for w in WORDS]
 )
 
 
@@ -148,14 +155,11 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, base = starts - starts[0], int(starts[0])
         flat = [c.values.slice(base, int(starts[-1])).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in (gains, losses)]
         codes = whole_units(flat[0], flat[1], starts)
-        blocks = fingerprints(codes, starts)
-        low = (blocks & 0xFF).astype(np.uint8).view(np.int64)
-        words = np.hstack([low, histogram_bits(codes, starts)])
+        words = histogram_bits(codes, starts)
         raw = [codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("row_id"), batch.column("side"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array(np.diff(starts), pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * BLOCKS, pa.int32()), pa.array(blocks.view(np.int32).ravel())),
                 pa.array(raw, pa.binary()), *[pa.array(words[:, i]) for i in range(words.shape[1])],
             ],
             schema=_SCHEMA,
@@ -163,7 +167,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded_sessions(manifest: DataFrame) -> DataFrame:
-    """Rows of a split with at least ``LEAST_TRIALS`` trials, with class, fingerprint and trials."""
+    """Rows of a split with at least ``LEAST_TRIALS`` trials, with class, histogram bits and trials."""
     side = split_name(F.col("split"))
     chosen = manifest.where((F.size("trials") >= LEAST_TRIALS) & side.isNotNull() & F.col("row_id").isNotNull())
     flat = chosen.select("row_id", side.alias("side"), F.col("trials.gain").alias("gain"), F.col("trials.loss").alias("loss"))
@@ -210,22 +214,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int32())), b.take(pa.array(keep, pa.int32())), pa.array(far, pa.int32())], names=["a", "b", "distance"])
 
 
-def equal_blocks() -> Column:
-    """Number of blocks of ``p`` and ``q`` whose lowest bytes are equal, by bit operations only."""
-    total = f"{BLOCKS}"
-    for w in LOWS:
-        x = f"(p.{w} ^ q.{w})"
-        for shift in (4, 2, 1):
-            x = f"({x} | shiftrightunsigned({x}, {shift}))"
-        total += f" - bit_count({x} & {0x0101010101010101}L)"
-    return F.expr(total)
+_KEYED = "class binary, n int, parts int, place int, key long, " + ", ".join(f"{w} long" for w in WORDS)
+
+
+def _keyed(windows: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("codes").to_pylist()
+            starts = np.cumsum([0, *(len(r) // 8 for r in raw)])
+            session, key, place = run_keys(np.frombuffer(b"".join(raw), np.int64), starts, windows)
+            at = pa.array(session, pa.int64())
+            kept = [batch.column(c).take(at) for c in ("class", "n")]
+            parts = np.array([len(segments(len(r) // 8)[1]) for r in raw], np.int32)[session]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts), pa.array(place, pa.int32()), pa.array(key), *[batch.column(w).take(at) for w in WORDS]], names=["class", "n", "parts", "place", "key", *WORDS])
+
+    return run
+
+
+def _most() -> Column:
+    return F.expr(f"cast(floor({SHARE} * greatest(p.n, q.n) + 1e-9) as int)")
 
 
 def within_radius() -> Column:
-    """Whether classes ``p`` and ``q`` may be near: by their lengths and the Hamming distance of their histogram bits."""
-    most = F.expr(f"cast(floor({SHARE} * greatest(p.n, q.n) + 1e-9) as int)")
+    """Whether classes ``p`` and ``q`` may be near: by their lengths, the places of the run they share and the Hamming distance of their histogram bits."""
+    most = _most()
     apart = F.expr(" + ".join(f"bit_count(p.{w} ^ q.{w})" for w in WORDS))
-    return (F.expr("abs(p.n - q.n)") <= most) & (apart <= 2 * most)
+    return (F.expr("abs(p.n - q.n)") <= most) & (F.expr("abs(p.place - q.place)") <= most) & (apart <= 2 * most)
 
 
 def near_classes(coded: DataFrame) -> DataFrame:
@@ -233,14 +247,15 @@ def near_classes(coded: DataFrame) -> DataFrame:
     is_train = F.col("side") == "train"
     classes = coded.groupBy("class").agg(
         F.max(is_train).alias("train"), F.max(~is_train).alias("held"),
-        *[F.first(c).alias(c) for c in ("n", "blocks", "codes", *LOWS, *WORDS)],
+        *[F.first(c).alias(c) for c in ("n", "codes", *WORDS)],
     )
     classes = cut(classes)
-    lean = classes.select("class", "train", "held", "n", *LOWS, *WORDS, F.posexplode("blocks").alias("block", "value"))
-    p, q = lean.where("train").alias("p"), lean.where("held").alias("q")
-    met = p.join(q, (F.col("p.block") == F.col("q.block")) & (F.col("p.value") == F.col("q.value")))
-    met = met.where((F.col("p.class") != F.col("q.class")) & (equal_blocks() >= LEAST_EQUAL) & within_radius())
-    met = met.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
+    lean = ["class", "n", "codes", *WORDS]
+    p = classes.where("train").select(*lean).mapInArrow(_keyed(False), _KEYED).alias("p")
+    q = classes.where("held").select(*lean).mapInArrow(_keyed(True), _KEYED).alias("q")
+    met = p.join(q, F.col("p.key") == F.col("q.key")).where((F.col("p.class") != F.col("q.class")) & within_radius())
+    by = met.groupBy(F.col("p.class").alias("a"), F.col("q.class").alias("b")).agg(F.countDistinct("p.place").alias("shared"), F.first(F.col("p.parts") - _most()).alias("least"))
+    met = by.where("shared >= least").select("a", "b")
     texts = classes.select("class", "codes")
     full = met.join(texts.toDF("a", "codes_a"), "a").join(texts.toDF("b", "codes_b"), "b")
     return full.select("a", "b", "codes_a", "codes_b").mapInArrow(_verify, "a binary, b binary, distance int")
