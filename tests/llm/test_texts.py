@@ -97,6 +97,17 @@ def pieces_markers(text):
     return [m.span() for m in re.finditer(r"<<[^<>]{0,76}>>", text)]
 
 
+def test_a_broken_word_does_not_become_regular_by_repetition(spark):
+    for times in (1, 10):
+        body = [f"Subject {i} read the sheet and then did the task slowly until it was done." for i in range(40 * times)]
+        broken = [f"Subject {i} came back. Number {i} again did the tas" for i in range(6 * times)]
+        closed = [f"Subject {i} came back and left.\nEnd of record {i}" for i in range(6 * times)]
+        rows = [(i, t) for i, t in enumerate(body + broken + closed)]
+        df = spark.createDataFrame([(i, "s", t, None) for i, t in rows], "row_id long, source string, text string, n_answer_spans int")
+        got = {r.row_id for r in truncation.judged(df).where("cut").collect()}
+        assert got == set(range(len(body), len(body) + len(broken)))
+
+
 def test_pieces_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x" * 6000, 0), (3, "y" * 6001, 0), (4, "z " * 40_000, 0), (5, "\U0001f0cf" * 6001, 0), (None, "n" * 7000, 0)], "row_id int, text string, piece int")
     assert sorted((r.row_id or 0) for r in pieces.oversized(df).collect()) == [0, 3, 4, 5]

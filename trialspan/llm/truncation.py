@@ -4,7 +4,7 @@ Method: word trigrams, in pure SQL. Trigrams are counted inside the texts' segme
 ends; the final trigram of a text that is frequent inside and almost never terminal marks a cut.
 The first word of a trigram counts as any word, so that its statistics are dense. Identical
 segments are counted once with their number before trigrams are made: the many equal trial lines
-cost little. What needs no statistics is told first: stated spans, signs, broken characters.
+cost little. The last segments of texts that may be cut are not counted among them. What needs no statistics is told first: stated spans, signs, broken characters.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspan.runtime import cut
 
-#: a final trigram so frequent inside texts, and terminal in at most such a share of its places, is a cut
-FREQUENT = 20
+#: a final trigram inside texts that is terminal in at most such a share of its places is a cut
 RARELY_LAST = 0.002
-#: an end without a full stop is taken for a regular one if so many other texts end on its trigram
-#: and such a share of its places are ends of texts or lines
-REGULAR_ENDS = 2
+#: an end without a full stop is regular if such a share of the places of its trigram, of those where
+#: a longer word stands in its place and of the different texts that end so are ends of lines or
+#: texts, by the lower Wilson bound of so many deviations. A broken word's whole form stands inside
+#: texts more often than it is broken, in a table of any size.
 REGULAR_SHARE = 0.3
+DEVIATIONS = 2.6
 
 # Control characters that mark the start of a segment's words, and a segment's begin and end.
 _START, _OPEN, _CLOSE = "\x01", "\x02", "\x03"
@@ -48,14 +49,33 @@ def _tokens(segment: Column) -> Column:
 
 
 def _trigrams(tokens: str) -> Column:
-    """Hashes of the trigrams that end at the third token and later ones.
+    """(context, word) of the trigrams that end at the third token and later ones: a hash of the first two, and the third.
 
     A word that comes first counts as any word, a capitalised second one as any name.
     """
     zipped = f"arrays_zip({', '.join(f'slice({tokens}, {k}, size({tokens}) - 2)' for k in (1, 2, 3))})"
     first = "if(ascii(x['0']) >= 65 and ascii(x['0']) <= 122 or ascii(x['0']) > 191, 'w', x['0'])"
     second = "if(ascii(x['1']) >= 65 and ascii(x['1']) <= 90, 'A', x['1'])"
-    return F.expr(f"transform({zipped}, x -> xxhash64({first}, {second}, x['2']))")
+    return F.expr(f"transform({zipped}, x -> struct(xxhash64({first}, {second}) as context, x['2'] as word))")
+
+
+def lower_share(hits: Column, n: Column) -> Column:
+    """Lower Wilson bound of the share ``hits`` / ``n``; null where ``n`` is zero."""
+    z = DEVIATIONS**2
+    share = F.try_divide(hits, n)
+    return (share + z / (2 * n) - DEVIATIONS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def _marked(corpus: DataFrame) -> DataFrame:
+    """(row_id, source, body, tail, mark, stopped): what tells a cut without statistics, and whether a full stop ends the text."""
+    body = F.coalesce(trimmed(F.col("text")), F.lit(""))
+    rows = corpus.select("row_id", "source", "n_answer_spans", body.alias("body"))
+    rows = rows.withColumn("tail", F.substring("body", F.greatest(F.length("body") - TAIL + 1, F.lit(1)), F.lit(TAIL)))
+    closed = (F.length("body") - F.length(F.replace("body", F.lit(">>"), F.lit("")))) / 2
+    spans = F.coalesce(F.col("n_answer_spans") > closed, F.lit(False))
+    stopped = F.col("tail").rlike(STOP) | (F.col("body") == "")
+    marks = F.when(spans, "spans").when(F.col("tail").rlike(SIGN), "sign").when(F.col("tail").rlike(BROKEN), "broken")
+    return rows.select("row_id", "source", "body", "tail", marks.alias("mark"), stopped.alias("stopped"))
 
 
 def judged(corpus: DataFrame) -> DataFrame:
@@ -68,38 +88,40 @@ def judged(corpus: DataFrame) -> DataFrame:
     regular end). ``cut`` is never null; null and blank texts are not cut
     unless they lack stated spans. Repeated rows are judged each. An empty table gives no rows.
     """
-    body = F.coalesce(trimmed(F.col("text")), F.lit(""))
-    rows = corpus.select("row_id", "source", "n_answer_spans", body.alias("body"))
-    rows = rows.withColumn("tail", F.substring("body", F.greatest(F.length("body") - TAIL + 1, F.lit(1)), F.lit(TAIL)))
-
-    closed = (F.length("body") - F.length(F.replace("body", F.lit(">>"), F.lit("")))) / 2
-    spans = F.coalesce(F.col("n_answer_spans") > closed, F.lit(False))
-    stopped = F.col("tail").rlike(STOP) | (F.col("body") == "")
-    marks = F.when(spans, "spans").when(F.col("tail").rlike(SIGN), "sign").when(F.col("tail").rlike(BROKEN), "broken")
+    rows = _marked(corpus)
+    stopped = F.col("stopped")
     # other segments of the text that go on where the last one ends, as "gain 55.0, penalty" does behind "gain 55."
     doubtful = ~stopped | F.col("tail").rlike(r" \d+\.$")
     lines = F.concat(F.lit(_OPEN), F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"\d+", "9"), r"<<[^<>]{1,12}>>", "<<X>>"), _NEXT, _CLOSE + _OPEN))
-    rows = rows.withColumn("mark", marks).withColumn("lines", F.when(F.col("mark").isNull() & doubtful, lines))
+    rows = rows.withColumn("lines", F.when(F.col("mark").isNull() & doubtful, lines))
     rows = rows.withColumn("end", F.concat(F.lit(_OPEN), F.substring_index("lines", _OPEN, -1)))
 
-    def held(text: Column, sought: Column) -> Column:
+    def times(text: Column, sought: Column) -> Column:
         return (F.length(text) - F.length(F.replace(text, sought, F.lit("")))) / F.length(sought)
 
-    begun = (F.length("end") > 1) & (held(F.col("lines"), F.col("end")) - 1 > held(F.col("lines"), F.concat("end", F.lit(_CLOSE))))
+    begun = (F.length("end") > 1) & (times(F.col("lines"), F.col("end")) - 1 > times(F.col("lines"), F.concat("end", F.lit(_CLOSE))))
     last = F.try_element_at(F.filter(F.split(F.regexp_replace("tail", r"\d+", "9"), _NEXT), lambda s: F.trim(s) != ""), F.lit(-1))
-    rows = rows.select("row_id", "source", "mark", F.coalesce(begun, F.lit(False)).alias("begun"), stopped.alias("stopped"), F.slice(_tokens(last), -3, 3).alias("tokens"))
+    rows = rows.select("row_id", "source", "mark", F.coalesce(begun, F.lit(False)).alias("begun"), "stopped", F.slice(_tokens(last), -3, 3).alias("tokens"), F.xxhash64("body").alias("text"))
     trigram = F.when(F.col("mark").isNull() & ~F.col("stopped"), F.try_element_at(_trigrams("tokens"), F.lit(1)))
-    asked = cut(rows.select("row_id", "source", "mark", "begun", "stopped", trigram.alias("trigram")))
-
-    segments = corpus.select(F.explode(F.split(F.regexp_replace(trimmed(F.col("text")), r"\d+", "9"), _NEXT)).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
-    made = segments.where("trim(segment) <> ''").select("n", _tokens(F.col("segment")).alias("tokens"))
-    made = made.select("n", F.expr("size(tokens) - 3").alias("final"), F.posexplode(_trigrams("tokens")).alias("at", "trigram"))
-    counted = made.groupBy("trigram").agg(F.sum("n").alias("places"), F.sum(F.when(F.col("at") == F.col("final"), F.col("n")).otherwise(0)).alias("line_ends"))
-    finals = asked.where("trigram IS NOT NULL").groupBy("trigram").agg(F.count("*").alias("ends"))
-    known = counted.join(finals, "trigram")
-    told = asked.join(known, "trigram", "left")
-    inside = F.expr(f"places - line_ends >= {FREQUENT} and ends <= {RARELY_LAST} * places")
-    regular = F.expr(f"ends > {REGULAR_ENDS} and line_ends >= {REGULAR_SHARE} * places")
+    asked = cut(rows.select("row_id", "source", "mark", "begun", "stopped", "text", trigram["context"].alias("context"), trigram["word"].alias("word")))
+
+    split = F.filter(F.split(F.regexp_replace("body", r"\d+", "9"), _NEXT), lambda s: F.trim(s) != "")
+    held = _marked(corpus).select(split.alias("split"), (F.col("stopped") & F.col("mark").isNull()).alias("ended"))
+    sure = F.when(F.col("ended"), F.col("split")).otherwise(F.slice("split", 1, F.greatest(F.size("split") - 1, F.lit(0))))
+    segments = held.select(F.explode(sure).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+    made = segments.select("n", _tokens(F.col("segment")).alias("tokens"))
+    made = made.select("n", F.expr("size(tokens) - 3").alias("final"), F.posexplode(_trigrams("tokens")).alias("at", "t"))
+    counted = made.groupBy(F.col("t.context").alias("context"), F.col("t.word").alias("inner")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") == F.col("final"), F.col("n")).otherwise(0)).alias("line_ends"))
+    finals = asked.where("word IS NOT NULL").groupBy("context", "word").agg(F.countDistinct("text").alias("ends"))
+    same, longer = F.expr("inner = word"), F.expr("startswith(inner, word) and inner <> word")
+    known = counted.join(finals.select("context", "word"), "context").where("startswith(inner, word)").groupBy("context", "word").agg(
+        F.sum(F.when(same, F.col("n")).otherwise(0)).alias("places"), F.sum(F.when(same, F.col("line_ends")).otherwise(0)).alias("line_ends"),
+        F.sum(F.when(longer, F.col("n")).otherwise(0)).alias("longer"),
+    )
+    known = finals.join(known, ["context", "word"], "left").fillna(0, ["places", "line_ends", "longer"])
+    told = asked.join(known, ["context", "word"], "left")
+    inside = F.expr(f"places > line_ends and ends <= {RARELY_LAST} * places")
+    regular = lower_share(F.expr("ends + line_ends"), F.expr("ends + places + longer")) >= REGULAR_SHARE
     reason = F.coalesce(
         "mark", F.when(~F.col("stopped") & inside, "trigram"), F.when(F.col("begun"), "segment"),
         F.when(~F.col("stopped") & F.coalesce(~regular, F.lit(True)), "open"),
