@@ -209,3 +209,41 @@ def test_boilerplate_of_a_host_is_no_residue(spark):
     rows = [(i, "a", f"{body} number {i}.\n{notice}") for i in range(40)] + [(100, "b", notice), (101, "a", "Error 404\nThe page could not be found")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert {r.doc_id for r in residue.residue_documents(df).collect()} == {100, 101}
+
+
+def made_match(items, rng):
+    """A random text that a parsed expression matches, but for what it asks of its neighbourhood."""
+    out = []
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(rng.choice([chr(arg).lower(), chr(arg).upper()]))
+        elif name == "NOT_LITERAL":
+            out.append("q" if chr(arg) != "q" else "w")
+        elif name == "ANY":
+            out.append("q")
+        elif name == "IN":
+            sure = [chr(x) for o, x in arg if str(o) == "LITERAL"] + [chr(x[0]) for o, x in arg if str(o) == "RANGE"]
+            kind = {"CATEGORY_SPACE": " ", "CATEGORY_WORD": "q", "CATEGORY_DIGIT": "7", "CATEGORY_NOT_WORD": "-"}
+            out.append("q" if str(arg[0][0]) == "NEGATE" else rng.choice(sure + [kind[str(x)] for o, x in arg if str(o) == "CATEGORY"]))
+        elif name == "BRANCH":
+            out.append(made_match(rng.choice(arg[1]), rng))
+        elif name == "SUBPATTERN":
+            out.append(made_match(arg[3], rng))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [made_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 3)))]
+    return "".join(out)
+
+
+def test_the_residue_filter_drops_no_match():
+    rng, anchors = random.Random(5), residue._automaton()
+    texts = [
+        "Hola null,", "Hola [nombre],", "Hi undefined,", "Hi [Name],", "Caro null,", "Cara [nome],", "took null minutes", "duró undefined minutos", "dauerte null Minuten", "Guthaben war null Punkte", "进行，共null分钟", "Error: 404", "Error code 503",
+        "HTTP: 503", "Fehler: 500", "Our server is currently down", "Scripts appear to be blocked", "activar scripts", "Bitte Scripts aktivieren", "Escriba su texto", "Title\nTitle", "ERROR İNESPERADO", "ſcriptſ are required",
+    ]
+    assert all(list(residue._kind(t, anchors)) for t in texts)
+    for pattern in (p for patterns in residue.GROUPS.values() for p in patterns):
+        tree = residue.sre_parser.parse(pattern, residue.re.I | residue.re.M)
+        texts += [made_match(tree, rng) for _ in range(60)]
+    found = [list(residue._kind(t, None)) for t in texts]
+    assert [list(residue._kind(t, anchors)) for t in texts] == found and sum(map(bool, found)) > len(texts) // 2

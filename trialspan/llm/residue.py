@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import eq
+from re import _constants as sre_constants, _parser as sre_parser
 
 import ahocorasick
 import pyarrow as pa
@@ -74,67 +76,147 @@ SLOTS = [
     r"\b(?:lasted|took|duró|durou|dauerte)\s+([^\n]{1,100}?)\s+(?:minutes|minutos|minuten)\b", r"\breport covers\s+([^\n]{1,100}?)\s+trials\b", r"\btrials run on\s+([^\n]{1,80}?)\.?\s*$", r"感谢([^。\n]{1,60}?)参加", r"场次于([^。\n]{1,60}?)进行", r"进行，共([^。\n]{1,60}?)分钟",
 ]
 
-_ERROR = re.compile("|".join(ERRORS).replace("(?m)", ""), re.I | re.M)
-_SCRIPT = re.compile("|".join(SCRIPTS).replace("(?m)", ""), re.I | re.M)
 _FILLER = [re.compile(p, re.I | re.M) for p in FILLER]
 _HEADING = re.compile(HEADINGS, re.I)
-_FIELD = re.compile("|".join(FIELDS), re.I)
 _SLOT = [re.compile(p, re.I | re.M) for p in SLOTS]
 _EMPTY = re.compile(rf"{_MISSING}|^\s*{_FIELD_WORD}\s*$", re.I)
 _CODE = re.compile(r"`[^`\n]{1,200}`")
 
-# Strings of which any evidence of the kind has at least one, in lower case.
-ANCHORS = {
-    "error": (
-        " be found| be loaded| be opened| be shown| be displayed|longer exist|not exist|not available|unavailable|failed to|been moved|been removed|been deleted|was moved|was removed|was deleted|has expired|has run out|timed out"
-        "|is down|over capacity|overloaded|is busy|offline|not responding|maintenance|did not answer|did not respond|returned no data|refused the|have permission|have access|the right|is only for|is for registered|for signed-in|for authori"
-        "|prove that you|prove you|security check|too many requests|please log in|please sign in|unexpected error|internal error|internal server|access denied|forbidden|not found|bad gateway|time-out|timeout|session expired|sign-in|signin|login required| gone"
-        "|http 4|http 5|status 4|status 5|error 4|error 5|erro 4|erro 5|fehler 4|fehler 5|错误|traceback|exception|fatal|warning|stack trace|notice"
-        "|ya no existe|no existe|no se pudo|no se ha|no está disp|se ha movido|ha caducado|ha expirado|ha ocurrido un|demasiadas pet|no tiene perm|servidor no|demuestre que|error inesperado|acceso denegado|sesión caducada"
-        "|já não existe|não existe|não foi enc|não está disp|não pôde ser|expirou|foi movid|não tem perm|demasiados ped|ocorreu um erro|erro inesperado|acesso negado|sessão expirada"
-        "|existiert nicht|wurde nicht gefunden|nicht verfügbar|konnte nicht|wurde verschoben|wurde gelöscht|abgelaufen|zu viele anfragen|berechtigung|antwortet nicht|hat nicht|fehler aufgetreten|zugriff verweigert|unerwarteter fehler|interner fehler"
-        "|no encontrada|não encontrada|nicht gefunden|找不到|不存在|已移动|已被|已删除|无法|没有响应|稍后再试|没有权限|您无权|请求过|会话已过期|出错了|访问被拒|拒绝访问|未找到"
-    ),
-    "script": "javascript|noscript|scripts are|scripts seem|script is|scripts is|enable script|turn on script|switch on script|allow script|activate script|unblock script|support script|run script|los scripts|os scripts|active script|ative script|permita script|habilite script|skripte|脚本",
-    "filler": (
-        "lorem ipsum|text to be |goes here|go here|in this box|sentence|replace this|delete this|placeholder text|texto de relleno|pendiente de|escriba aquí|inserte|añada|a preencher|texto a inser|hier ein|blindtext|platzhaltertext|示例文字|待补充|此处|占位文字"
-        "|heading|subtitle|caption|your text|your title|título|subtítulo|titel\n|insert figure|insert image|insert text|标题|正文"
-    ),
-    "field": (
-        "{|[[|$|%|<%|&lt;|__|«|_|[insert| here]|[object|#ref|#value|#name|#num|#n/a|#div|#null|(null)|dear |thank you,|thanks,|hello |gracias,|estimad|querid|obrigad|olá |danke,|liebe|hallo |sehr geehrte"
-        "|balance was|balance is|saldo fue de|saldo es de|saldo foi de|guthaben betr|kontostand|the session at|the session in|la sesión en|a sessão em|die sitzung in|report covers|trials run on|感谢|场次于"
-    ),
-}
-
-
-def _automaton() -> ahocorasick.Automaton:
+# letters that match i and s where case does not count, but have another lower case
+_FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+_SHORTEST, _MOST = 3, 400
+
+
+def folded(text: str) -> str:
+    return text.translate(_FOLDED).lower()
+
+
+def required(pattern: str) -> frozenset[str] | None:
+    """Strings, folded, of which any match of ``pattern`` holds at least one; None if there are no such strings.
+
+    Derived from the parsed expression: an alternation needs those of each branch, a sequence the
+    best of its parts, where runs of fixed characters are put together.
+    """
+    found = _needed(list(sre_parser.parse(pattern, re.I | re.M)))
+    return found if found and min(map(len, found)) >= 1 else None
+
+
+def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
+    worth = lambda x: (min(min(map(len, x)), _SHORTEST + 1), -len(x)) if x else (0, 0)
+    return a if worth(a) >= worth(b) else b
+
+
+def _needed(items: list) -> frozenset[str] | None:
+    best, runs = None, frozenset([""])
+    for op, arg in items:
+        exact = _exact(op, arg)
+        if exact is not None and len(runs) * len(exact) <= _MOST:
+            runs = frozenset(x + y for x in runs for y in exact)
+            continue
+        best, runs = _better(best, runs - {""} if "" not in runs else None), frozenset([""])
+        inner = None
+        if op is sre_constants.SUBPATTERN:
+            inner = _needed(list(arg[3]))
+        elif op is sre_constants.BRANCH:
+            each = [_needed(list(x)) for x in arg[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        elif op in (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT) and arg[0]:
+            inner = _needed(list(arg[2]))
+        best = _better(best, inner)
+        if exact is not None:
+            runs = exact
+    return _better(best, runs if "" not in runs else None)
+
+
+def _exact(op, arg) -> frozenset[str] | None:
+    """All strings, folded, that an element matches, if they are few."""
+    c = sre_constants
+    if op is c.LITERAL:
+        return frozenset([folded(chr(arg))])
+    if op in (c.AT, c.ASSERT, c.ASSERT_NOT):
+        return frozenset([""])
+    if op is c.IN and all(o is c.LITERAL for o, _ in arg):
+        return frozenset(folded(chr(x)) for _, x in arg)
+    if op is c.SUBPATTERN:
+        return _all_of(arg[3])
+    if op is c.BRANCH:
+        each = [_all_of(x) for x in arg[1]]
+        return frozenset().union(*each) if all(x is not None for x in each) and sum(map(len, each)) <= _MOST else None
+    if op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[:2] == (0, 1):
+        inner = _all_of(arg[2])
+        return inner | {""} if inner is not None else None
+    return None
+
+
+def _all_of(items) -> frozenset[str] | None:
+    out = frozenset([""])
+    for op, arg in items:
+        part = _exact(op, arg)
+        if part is None or len(out) * len(part) > _MOST:
+            return None
+        out = frozenset(x + y for x in out for y in part)
+    return out
+
+
+#: the patterns of each group; one is run where the text holds a string of its own
+GROUPS = {
+    "error": ERRORS, "script": SCRIPTS, "filler": FILLER[:-3], "heading": [HEADINGS], "field": FIELDS, **{f"slot{i}": [p] for i, p in enumerate(SLOTS)},
+}
+
+
+Part = tuple[str, int]
+
+
+def _automaton() -> tuple[ahocorasick.Automaton, frozenset[Part]]:
+    """Finds the patterns, by group and place, whose strings a folded text holds; and those that need none, which always run."""
+    by: dict[str, set[Part]] = {}
+    always = set()
+    for group, patterns in GROUPS.items():
+        for i, pattern in enumerate(patterns):
+            words = required(pattern)
+            if words is None:
+                always.add((group, i))
+            for word in words or ():
+                by.setdefault(word, set()).add((group, i))
     machine = ahocorasick.Automaton()
-    for kind, words in ANCHORS.items():
-        for word in words.split("|"):
-            machine.add_word(word, kind)
+    for word, parts in by.items():
+        machine.add_word(word, frozenset(parts))
     machine.make_automaton()
-    return machine
+    return machine, frozenset(always)
+
+
+_ALL = frozenset((group, i) for group, patterns in GROUPS.items() for i in range(len(patterns)))
+
+
+@lru_cache(4096)
+def _joined(group: str, places: tuple[int, ...]) -> re.Pattern:
+    """One expression of some patterns of a group; what others match is not looked for."""
+    return re.compile("|".join(GROUPS[group][i] for i in places).replace("(?m)", ""), re.I | re.M)
 
 
 _LONG_WORDS = bytes(0 if n < 4 else 1 for n in range(256))
 _RUN = b"\1" * 9
 
 
-def _kind(text: str, machine: ahocorasick.Automaton) -> Iterator[tuple[str, int, int]]:
-    """(kind, from, to) of the evidence in a text."""
-    may = {kind for _, kind in machine.iter(text.lower())}
-    if "error" in may:
-        yield from (("error", *m.span()) for m in _ERROR.finditer(text))
-    if "script" in may:
-        yield from (("script", *m.span()) for m in _SCRIPT.finditer(text))
-    if "field" in may:
+def _kind(text: str, anchors: tuple[ahocorasick.Automaton, frozenset[Part]] | None) -> Iterator[tuple[str, int, int]]:
+    """(kind, from, to) of the evidence in a text; without ``anchors`` all patterns are run."""
+    parts = _ALL if anchors is None else anchors[1].union(*{found for _, found in anchors[0].iter(folded(text))})
+    may: dict[str, list[int]] = {}
+    for group, i in sorted(parts):
+        may.setdefault(group, []).append(i)
+    for kind in ("error", "script"):
+        if kind in may:
+            yield from ((kind, *m.span()) for m in _joined(kind, tuple(may[kind])).finditer(text))
+    slots = [slot for i, slot in enumerate(_SLOT) if f"slot{i}" in may]
+    if slots or "field" in may:
         plain = _CODE.sub(lambda m: " " * len(m.group()), text) if "`" in text else text
-        yield from (("field", *m.span()) for m in _FIELD.finditer(plain))
-        for slot in _SLOT:
+        if "field" in may:
+            yield from (("field", *m.span()) for m in _joined("field", tuple(may["field"])).finditer(plain))
+        for slot in slots:
             yield from (("field", *m.span()) for m in slot.finditer(plain) if _EMPTY.search(m.group(1)))
-    if "filler" in may:
-        for pattern in _FILLER[:-3]:
-            yield from (("filler", *m.span()) for m in pattern.finditer(text))
+    for i in may.get("filler", ()):
+        yield from (("filler", *m.span()) for m in _FILLER[i].finditer(text))
+    if "heading" in may:
         heads = list(_HEADING.finditer(text))
         if len(heads) >= 2:
             yield from (("filler", *m.span()) for m in heads)
@@ -154,12 +236,12 @@ _LINES = re.compile("[\\r\\n\\v\\f\\x85\\u2028\\u2029]+")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    machine = _automaton()
+    anchors = _automaton()
     for batch in batches:
         rows = []
         for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = _LINES.sub("\n", text.as_py())
-            found = list(_kind(text, machine))
+            found = list(_kind(text, anchors))
             if not found:
                 continue
             spans = [(text.rfind("\n", 0, a) + 1, text.find("\n", b) if text.find("\n", b) >= 0 else len(text)) for _, a, b in found]
