@@ -98,3 +98,11 @@ def test_resume(spark, tmp_path):
         out = resume.compute_or_reuse(spark, str(tmp_path / "t"), lambda: made.append(1) or a)
         assert out.count() == 2
     assert len(made) == 1
+
+
+def test_long_texts_are_collated_whole(spark, tmp_path):
+    from trialspan.plans import corpora
+
+    spark.createDataFrame([(1, "word " * 4999 + "words"), (2, "a few words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = corpora.collated_batches(spark, str(tmp_path)).first()
+    assert (row.n_rows, row.width, row.n_attended) == (2, 5000, 5003)

@@ -151,7 +151,7 @@ def answer_mask_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def collated_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _documents(spark, sf).select("doc_id", F.slice(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w)), 1, 4096).alias("ids"))
+    rows = _documents(spark, sf).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.length(w)).alias("ids"))
     rows = rows.withColumn("labels", F.transform("ids", lambda x: F.when(x > 5, x).otherwise(masks.IGNORED)))
     out = masks.collate(rows.withColumn("pos", F.col("doc_id") - 1), "pos", "ids", "labels", 8)
     return out.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.max(F.size("input_ids")).alias("width"), F.min(F.size("input_ids")).alias("least_width"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("n_attended"))
