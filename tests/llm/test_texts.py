@@ -108,6 +108,14 @@ def test_a_broken_word_does_not_become_regular_by_repetition(spark):
         assert got == set(range(len(body), len(body) + len(broken)))
 
 
+def test_a_piece_behind_a_long_marker_does_not_begin_within_it(spark):
+    text = "a b " * 1390 + "<<" + "w " * 115 + ">>" + "c d " * 400
+    rows = pieces.cut_texts(spark.createDataFrame([(1, text)], "row_id int, text string")).orderBy("piece").collect()
+    inside = range(text.index("<<") + 1, text.index(">>") + 2)
+    assert len(rows) > 1 and not any(r.start in inside or r.start + len(r.piece_text) in inside for r in rows)
+    assert "".join(r.piece_text[len(r.piece_text) - r.n_new :] for r in rows) == text
+
+
 def test_pieces_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x" * 6000, 0), (3, "y" * 6001, 0), (4, "z " * 40_000, 0), (5, "\U0001f0cf" * 6001, 0), (None, "n" * 7000, 0)], "row_id int, text string, piece int")
     assert sorted((r.row_id or 0) for r in pieces.oversized(df).collect()) == [0, 3, 4, 5]
@@ -211,6 +219,25 @@ def test_boilerplate_of_a_host_is_no_residue(spark):
     assert {r.doc_id for r in residue.residue_documents(df).collect()} == {100, 101}
 
 
+def test_an_error_template_with_furniture_is_residue_on_a_host_of_any_size(spark):
+    """The furniture of 45 words is no content: on one host it stands around an error line, on another around real texts."""
+    menu = " ".join(f"menu{i}" for i in range(45))
+    notice = "Please enable JavaScript to use the menu."
+    for times in (1, 6):
+        pages = [(i, "errors", f"{menu}\nError 404\nThe page could not be found\n{menu} footer") for i in range(30 * times)]
+        texts = [(1000 + i, "texts", f"{menu}\n{' '.join(f'{chr(97 + i % 26)}{chr(97 + i // 26)}word{j}' for j in range(50))}\n{notice}") for i in range(30 * times)]
+        short = [(2000, "texts", f"{menu}\nSee you soon.\n{notice}"), (2001, "texts", f"{menu}\n{notice}\nNot found: the results table is not available."), (2002, None, f"{menu}\n{notice}")]
+        df = spark.createDataFrame(pages + texts + short, "doc_id long, source string, text string")
+        assert {r.doc_id for r in residue.residue_documents(df).collect()} == {i for i, _, _ in pages} | {2001, 2002}
+
+
+def test_unfilled_values_are_told_by_their_place(spark):
+    bad = ["It took null minutes.", "You won XXXX points today.", "Hallo undefined,\nhier", "Dear {name}, hello", "We met at None.", "第一轮在undefined进行", "感谢{0}参加", "It lasted n_minutes minutes."]
+    good = ["An undefined outcome was dropped.", "Of <b>55</b> minutes.", "The value is null.", "记为NaN的时间", "Dear Ann, hello", "None of the minutes", "A set {0} of points"]
+    df = spark.createDataFrame([(i, "h", t) for i, t in enumerate(bad)] + [(100 + i, "h", t) for i, t in enumerate(good)], "doc_id long, source string, text string")
+    assert {r.doc_id for r in residue.residue_documents(df).collect()} == set(range(len(bad)))
+
+
 def made_match(items, rng):
     """A random text that a parsed expression matches, but for what it asks of its neighbourhood."""
     out = []

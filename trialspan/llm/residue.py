@@ -1,9 +1,10 @@
 """Documents in which template fields, filler, error messages or script notices stand in place of content.
 
-Method: lines are normalised and counted by host (the column ``source``), lines that recur beside
-real content are boilerplate and are subtracted, and a document is excluded if its residual still
-holds evidence. Only lines that hold evidence can change the result, so only they are counted and
-shuffled; one multi-pattern pass over each whole text finds the documents that may have any.
+Method: the normalised lines of all documents are counted by host (the column ``source``). Lines
+that recur on a host are its furniture; they are subtracted, and what is left of a document is
+judged: evidence in a line of its own excludes the document. Evidence in a recurrent line is
+furniture too where the residual holds content, and stands where nothing else is left of the page.
+One pass over each whole text gives both the lines and the evidence.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from re import _constants as sre_constants, _parser as sre_parser
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: a line is boilerplate of a host if so many of its documents, and such a share of them, have it,
-#: most of them beside at least so many words of other text
-RECURS_IN = 20
+from trialspan.runtime import cut
+
+#: a line recurs on a host if such a share of its other documents have it, by the lower Wilson bound
+#: of so many deviations, so that a host of any size is judged alike
 RECURS_SHARE = 0.02
-BESIDE_CONTENT = 0.8
+DEVIATIONS = 2.6
+#: so many words in lines that neither recur nor hold evidence are content; so is a line that recurs, but is a
+#: closed passage of as many words: a copied text, no furniture
 CONTENT_WORDS = 40
+#: a recurrent line stands beside content if such a share of the documents that have it hold content
+BESIDE_CONTENT = 0.8
 
 # Phrases of error, refusal and script notices by language.
 _EN_THING = r"(?:(?:the|that|this|your|a) )?(?:study |session |participant |results? |web )?(?:page|file|record|table|view|log|link|document|resource|article|content|address|url|session|sign-in|account)(?: you (?:asked for|requested|are looking for))?"
@@ -60,35 +67,46 @@ FILLER = [
 HEADINGS = r"(?m)^[\W_]*(?:heading|subtitle|caption|title|your (?:text|title|name)|titel|título|untertitel|subtítulo|insert (?:figure|image|text|table|caption)|(?:subtitle|caption|title|text|heading)(?: goes)? here|标题|正文)[\W_]*$"
 
 _NAME = r"[^\W\d_][\w .\-]{0,40}"
+_FIELD_WORD = r"(?:(?:participant|first|last|study|session|reward|deck|n)?[ _]?(?:name|title|date|total|label|trials)|site|sede|local|standort|nombre|nome|vorname|nachname|datum|fecha|data|姓名|日期|地点)"
 _SNAKE = r"[^\W\d_]+(?:_[^\W_]+)+"
 # Marks that a field of a template leaves, and words that stand for a missing value.
 FIELDS = [
     rf"(?<!`)\{{\{{[#/^>]?\s*{_NAME}\}}\}}(?!`)", rf"\[\[\s*{_NAME}\]\]", rf"[$#]\{{\s*{_NAME}\}}", rf"<%[=-]?\s*{_NAME}%>", rf"%\({_NAME}\)[sdf]?", r"%[^\W\d_][^\W\d]{1,40}(?: [^\W\d]{1,20})?%", rf"\${_SNAKE}\b\$?", r"\$[^\W\d_]{3,40}(?: [^\W\d_]{1,20})?\$",
+    rf"__{_FIELD_WORD}__", rf"\{{{_FIELD_WORD}\}}", rf"«{_FIELD_WORD}»", rf"&lt;{_FIELD_WORD}&gt;",
     rf"__{_SNAKE}__", rf"\{{{_SNAKE}\}}", rf"\[{_SNAKE}\]", rf"(?<!<)<{_SNAKE}>", rf"«{_SNAKE}»", rf"&lt;{_SNAKE}&gt;",
     r"\[insert\s[^\]\n]{1,60}\]", r"\[[^\]\n]{1,60}\shere\]", r"\[object object\]", r"#(?:ref|value|name|num|null|div/0)[!?]|#n/a\b", r"\(null\)",
 ]
-_MISSING = rf"\b(?:null|undefined|nan|none|n/a|nil|todo|tbd|x{{3,}}|\d*x{{4,}})\b|_{{2,}}|\{{[^{{}}\n]+\}}|\[[^\[\]\n]+\]|(?<!<)<[^\W\d_][^<>\n]*>|«[^»\n]+»|&lt;[^&\n]+&gt;|\b{_SNAKE}\b"
-_FIELD_WORD = r"(?:(?:participant|first|last|study|session|reward|deck|n)?(?:name|title|date|total|label|trials)|site|sede|local|standort|nombre|nome|vorname|nachname|datum|fecha|data|姓名|日期|地点)"
-#: sentences of letters and reports whose slots must hold a value
+_UNIT = r"(?:minutes?|minutos?|minuten?|points?|puntos?|pontos?|punkten?|trials?|ensayos?|ensaios?|durchgängen?|rounds?|rondas?|rodadas?|runden?|sessions?|sesion(?:es)?|sessões|sitzungen?|participants?|participantes?|teilnehmern?|seconds?|segundos?|sekunden?|hours?|horas?|stunden?|days?|d[íi]as?|tagen?|euros?|dollars?)"
+_GREETING = r"(?:dear|hello|hi|thank you,|thanks,|estimad[oa](?:/[oa])?|hola|gracias,|querid[oa](?:/[oa])?|car[oa](?:/[oa])?|obrigad[oa],|olá|liebe[rs]?(?:/r)?|danke,|hallo|sehr geehrte[rs]?)"
+_NO_WORD = r"(?:null|undefined|nan|none|n/a|nil|todo|tbd)"
+_NO_SIGN = r"(?:\d*x{3,}|_{2,})"
+_OPEN, _CLOSE = r"(?:\{|\[|<|«|&lt;|__)", r"(?:\}|\]|>|»|&gt;|__)"
+_FILLABLE = rf"{_OPEN}(?:{_FIELD_WORD}|\d){_CLOSE}"
+_PLACE = r"(?:at|in|on|en|em|bei|am)"
+_BEHIND_PLACE = r"(?=[ \t]*(?:[.,;:!?]|$)|[ \t]+(?:is|was|are|were|has|had|ran|took|began|started|ended|lasted|fue|es|era|duró|empezó|terminó|foi|é|durou|começou|terminou|ist|war|wurde|begann|endete|dauerte)\b)"
+#: places where a value must stand: before a unit, behind a greeting, behind a preposition of place before a verb or the end, between wide characters
 SLOTS = [
-    r"\b(?:dear|hello|hi|thank you,|thanks,|estimad[oa](?:/[oa])?|hola|gracias,|querid[oa](?:/[oa])?|car[oa](?:/[oa])?|obrigad[oa],|olá|liebe[rs]?(?:/r)?|danke,|hallo|sehr geehrte[rs]?)\s+([^.\n]{0,120}?)(?:,|:|\n|$)",
-    r"\b(?:balance (?:was|is)|saldo (?:fue|es) de|saldo foi de|(?:guthaben|kontostand) (?:betrug|beträgt|war))\s+([^\n]{1,100}?)\s+(?:points|puntos|pontos|punkte)\b", r"\b(?:the session (?:at|in)|la sesión en|a sessão em|die sitzung in)\s+([^\n]{1,120}?)\s+(?:lasted|duró|durou|dauerte)\b",
-    r"\b(?:lasted|took|duró|durou|dauerte)\s+([^\n]{1,100}?)\s+(?:minutes|minutos|minuten)\b", r"\breport covers\s+([^\n]{1,100}?)\s+trials\b", r"\btrials run on\s+([^\n]{1,80}?)\.?\s*$", r"感谢([^。\n]{1,60}?)参加", r"场次于([^。\n]{1,60}?)进行", r"进行，共([^。\n]{1,60}?)分钟",
+    *[rf"(?<![\w`]){value} {_UNIT}\b" for value in (_NO_WORD, _NO_SIGN, _SNAKE)], rf"(?<!<){_FILLABLE} {_UNIT}\b",
+    *[rf"\b{_GREETING} {value}[ \t]*(?:[,:!]|$)" for value in (_NO_WORD, _NO_SIGN, _SNAKE, _FIELD_WORD, rf"{_OPEN}[^\n{{}}\[\]<>«»&]{{1,60}}{_CLOSE}")],
+    *[rf"\b{_PLACE} {value}{_BEHIND_PLACE}" for value in (_NO_WORD, _NO_SIGN, _SNAKE, _FILLABLE)],
+    *[rf"(?<=[一-鿿])(?<![为是成作]){value}(?=[一-鿿])" for value in (_NO_WORD, _NO_SIGN, _SNAKE, _FILLABLE)],
 ]
 
 _FILLER = [re.compile(p, re.I | re.M) for p in FILLER]
 _HEADING = re.compile(HEADINGS, re.I)
 _SLOT = [re.compile(p, re.I | re.M) for p in SLOTS]
-_EMPTY = re.compile(rf"{_MISSING}|^\s*{_FIELD_WORD}\s*$", re.I)
 _CODE = re.compile(r"`[^`\n]{1,200}`")
 
-# letters that match i and s where case does not count, but have another lower case
-_FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
-_SHORTEST, _MOST = 3, 400
+_MOST = 4000
+# how rare a character is, about, as a number of common letters
+_RARE = {" ": 0.5} | dict.fromkeys("jkqwxyz", 2.0)
 
 
 def folded(text: str) -> str:
-    return text.translate(_FOLDED).lower()
+    """Lower case, with the letters that match i and s where case does not count, but have another lower case."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return text.lower()
 
 
 def required(pattern: str) -> frozenset[str] | None:
@@ -102,7 +120,7 @@ def required(pattern: str) -> frozenset[str] | None:
 
 
 def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
-    worth = lambda x: (min(min(map(len, x)), _SHORTEST + 1), -len(x)) if x else (0, 0)
+    worth = lambda x: (min(min(sum(_RARE.get(c, 1.0 if c.isalpha() and c < "\u0100" else 4.0) for c in w) for w in x), 8.0), -len(x)) if x else (0, 0)
     return a if worth(a) >= worth(b) else b
 
 
@@ -121,7 +139,8 @@ def _needed(items: list) -> frozenset[str] | None:
             each = [_needed(list(x)) for x in arg[1]]
             inner = frozenset().union(*each) if all(each) else None
         elif op in (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT) and arg[0]:
-            inner = _needed(list(arg[2]))
+            whole = _all_of(arg[2])
+            inner = frozenset(x * arg[0] for x in whole) if whole and len(whole) == 1 else _needed(list(arg[2]))
         best = _better(best, inner)
         if exact is not None:
             runs = exact
@@ -196,6 +215,15 @@ def _joined(group: str, places: tuple[int, ...]) -> re.Pattern:
 
 _LONG_WORDS = bytes(0 if n < 4 else 1 for n in range(256))
 _RUN = b"\1" * 9
+_WIDE_RUN = re.compile("[一-鿿]{8}")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _kind(text: str, anchors: tuple[ahocorasick.Automaton, frozenset[Part]] | None) -> Iterator[tuple[str, int, int]]:
@@ -213,7 +241,7 @@ def _kind(text: str, anchors: tuple[ahocorasick.Automaton, frozenset[Part]] | No
         if "field" in may:
             yield from (("field", *m.span()) for m in _joined("field", tuple(may["field"])).finditer(plain))
         for slot in slots:
-            yield from (("field", *m.span()) for m in slot.finditer(plain) if _EMPTY.search(m.group(1)))
+            yield from (("field", *m.span()) for m in slot.finditer(plain))
     for i in may.get("filler", ()):
         yield from (("filler", *m.span()) for m in _FILLER[i].finditer(text))
     if "heading" in may:
@@ -223,55 +251,93 @@ def _kind(text: str, anchors: tuple[ahocorasick.Automaton, frozenset[Part]] | No
     # filler that has no fixed words: one word again and again, or sentences without any short word
     words = text.split()
     repeats = sum(map(eq, words, words[1:])) >= 5
-    even = _RUN in bytes(min(n, 255) for n in map(len, words)).translate(_LONG_WORDS)
-    for pattern, wanted in zip(_FILLER[-3:], (repeats, not text.isascii(), even), strict=True):
+    try:
+        lengths = bytes(map(len, words))
+    except ValueError:  # a word of more than 255 characters
+        lengths = bytes(min(n, 255) for n in map(len, words))
+    even = _RUN in lengths.translate(_LONG_WORDS)
+    wide = not text.isascii() and not _latin(text) and _WIDE_RUN.search(text) is not None
+    for pattern, wanted in zip(_FILLER[-3:], (repeats, wide, even), strict=True):
         m = pattern.search(text) if wanted else None
         if m:
             yield "filler", *m.span()
 
 
-_FOUND = "doc_id long, source string, kind string, line string, evidence string, content_words int"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("line", pa.string()), ("evidence", pa.string()), ("content_words", pa.int32())])
+_FOUND = "doc_id long, source string, lines array<bigint>, words array<int>, passage array<boolean>, evidence array<struct<at:int,kind:string,line:string,evidence:string>>"
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("source", pa.string()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("passage", pa.list_(pa.bool_())),
+        ("evidence", pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("line", pa.string()), ("evidence", pa.string())]))),
+    ]
+)
 _LINES = re.compile("[\\r\\n\\v\\f\\x85\\u2028\\u2029]+")
+_NUMBER = re.compile(r"\d+")
+_STOPS = (".", "!", "?", "…", "。", "！", "？", '."', ".”", ".)")
+
+
+def normalised(line: str) -> str:
+    """A line in lower case, blanks joined, numbers as 0."""
+    return _NUMBER.sub("0", " ".join(line.lower().split()))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    anchors = _automaton()
+    """The lines of every text as hashes; where there is evidence, what the lines are, and the evidence by the place of its line."""
+    anchors, hashed = _automaton(), xxhash.xxh64_intdigest
     for batch in batches:
-        rows = []
-        for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            text = _LINES.sub("\n", text.as_py())
+        lines, words, passages, evidence = [], [], [], []
+        for text in batch.column(2).to_pylist():
+            text = _LINES.sub("\n", text)
             found = list(_kind(text, anchors))
-            if not found:
-                continue
-            spans = [(text.rfind("\n", 0, a) + 1, text.find("\n", b) if text.find("\n", b) >= 0 else len(text)) for _, a, b in found]
-            held = "\n".join(text[a:b] for a, b in set(spans))
-            content = len(text.split()) - len(held.split())
-            for (kind, a, b), (x, y) in zip(found, spans, strict=True):
-                line = re.sub(r"\d+", "0", " ".join(text[x:y].lower().split()))
-                rows.append((doc, source, kind, line, text[a:b][:200], content))
-        yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
+            own = text.split("\n")
+            same = _NUMBER.sub("0", text.lower()).split("\n")
+            split = [line.split() for line in (same if len(same) == len(own) else map(normalised, own))]
+            lines.append([hashed(" ".join(x).encode("utf-8", "surrogatepass")) - (1 << 63) for x in split])
+            words.append([len(x) for x in split] if found else [])
+            passages.append([len(x) >= CONTENT_WORDS and y.rstrip().endswith(_STOPS) for x, y in zip(split, own, strict=True)] if found else [])
+            places = [text.count("\n", 0, b - len(text[a:b].lstrip())) for _, a, b in found]
+            evidence.append([{"at": at, "kind": kind, "line": normalised(own[at]), "evidence": text[a:b]} for at, (kind, a, b) in zip(places, found, strict=True)])
+        columns = [batch.column(0), batch.column(1), lines, words, passages, evidence]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def lower_share(hits: Column, n: Column) -> Column:
+    """Lower Wilson bound of the share ``hits`` / ``n``; null where ``n`` is zero."""
+    z = DEVIATIONS**2
+    share = F.try_divide(hits, n)
+    return (share + z / (2 * n) - DEVIATIONS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
 
 
 def evidence(documents: DataFrame) -> DataFrame:
     """Residual evidence of each document: (doc_id, source, kind, line, evidence).
 
     ``kind`` is ``error``, ``script``, ``filler`` or ``field``; ``line`` is normalised (lower
-    case, blanks joined, numbers as 0). Lines that recur beside content on their host are
-    subtracted. Null and blank texts, and rows without an id, hold no evidence; a null source is a host of its own.
+    case, blanks joined, numbers as 0). Lines that recur on a host are subtracted, evidence in
+    them too, unless too few words are left that could be content and the line mostly stands
+    without any. Null and blank texts, and rows without an id, hold no evidence; a null source is a
+    host of its own; rows of one id are judged each, and rows delivered twice count twice.
     """
-    texts = documents.select("doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    found = texts.mapInArrow(_scan, _FOUND)
-    hosts = documents.groupBy("source").agg(F.count("*").alias("host_documents"))
-    beside = F.avg((F.col("content_words") >= CONTENT_WORDS).cast("double"))
-    lines = found.select("doc_id", "source", "line", "content_words").distinct().groupBy("source", "line").agg(F.count("*").alias("n"), beside.alias("beside"))
-    recurrent = (
-        lines.where((F.col("n") >= RECURS_IN) & (F.col("beside") >= BESIDE_CONTENT)).alias("l")
-        .join(hosts.alias("h"), F.expr("l.source <=> h.source")).where(F.expr(f"l.n >= {RECURS_SHARE} * h.host_documents"))
-        .select(F.col("l.source").alias("host"), F.col("l.line").alias("boilerplate"))
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    found = cut(texts.mapInArrow(_scan, _FOUND))
+    hosts = found.groupBy("source").agg(F.count("*").alias("documents"))
+    counted = found.select("source", F.explode(F.array_distinct("lines")).alias("hash")).groupBy("source", "hash").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    recurs = lower_share(F.col("l.others"), F.col("h.documents") - 1) >= RECURS_SHARE
+    recurrent = counted.alias("l").join(hosts.alias("h"), F.expr("l.source <=> h.source")).where(recurs).select(F.col("l.source").alias("host"), F.col("l.hash").alias("furniture"))
+
+    held = found.where("size(evidence) > 0").withColumn("row", F.monotonically_increasing_id())
+    marked = F.expr("transform(evidence, e -> e.at)")
+    held = held.select("row", "doc_id", "source", "evidence", marked.alias("marked"), F.posexplode(F.arrays_zip("lines", "words", "passage")).alias("at", "x"))
+    held = held.join(recurrent, F.expr("source <=> host") & (F.col("x.lines") == F.col("furniture")), "left")
+    own = F.col("furniture").isNull()
+    content = F.sum(F.when((own | F.col("x.passage")) & ~F.array_contains("marked", F.col("at")), F.col("x.words")).otherwise(0))
+    judged = held.groupBy("row", "doc_id", "source").agg(
+        content.alias("content"), F.first("evidence").alias("evidence"), F.map_from_entries(F.collect_list(F.when(F.array_contains("marked", F.col("at")), F.struct("at", F.struct(F.col("x.lines").alias("hash"), (~own).alias("furniture")))))).alias("on"),
     )
-    same = F.expr("source <=> host") & (F.col("line") == F.col("boilerplate"))
-    return found.join(recurrent, same, "left_anti").select("doc_id", "source", "kind", "line", "evidence")
+    each = judged.select("doc_id", "source", (F.col("content") >= CONTENT_WORDS).alias("beside"), "on", F.explode("evidence").alias("e"))
+    each = each.select("doc_id", "source", "beside", "e.kind", "e.line", "e.evidence", F.element_at("on", F.col("e.at")).alias("on")).select("*", "on.hash", "on.furniture")
+    # whether a recurrent line with evidence stands beside content as a rule; other lines are not shuffled for it
+    rule = each.where("furniture").groupBy(F.col("source").alias("host"), F.col("hash").alias("of")).agg(F.avg(F.col("beside").cast("double")).alias("share"))
+    told = each.join(rule, F.expr("furniture AND source <=> host AND hash = of"), "left")
+    return told.where(F.expr(f"NOT furniture OR NOT (beside OR share >= {BESIDE_CONTENT})")).select("doc_id", "source", "kind", "line", "evidence")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
