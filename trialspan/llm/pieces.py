@@ -49,11 +49,11 @@ def shared_length(before: Column, overlap: int = OVERLAP) -> Column:
     """How much of the end of ``before``, masked, the next piece begins with: at most ``overlap`` code points.
 
     The lookback moves on to a line, sentence or word boundary in its first half where there is
-    one, and out of a marker that it would begin within.
+    one. It leaves a marker that it would begin within, and is empty where it lies within one.
     """
     tail = F.substring(before, F.greatest(F.length(before) - overlap + 1, F.lit(1)), F.lit(overlap))
     half = overlap // 2
-    out = F.regexp_replace(tail, rf"^{WITHIN}{{1,{half}}}", "")
+    out = F.regexp_replace(tail, rf"^{WITHIN}+", "")
     moved = F.regexp_replace(out, rf"^(?:[^\n]{{0,{half}}}\n+|[\s\S]{{0,{half}}}?[.!?。！？]\s+|[\s\S]{{0,{half}}}?\s)(?=[\s\S])", "")
     return F.when(F.length(before) <= overlap, F.length(before)).otherwise(F.length(moved))
 
@@ -72,7 +72,8 @@ def cut_texts(df: DataFrame, key: str = "row_id", text: str = "text", limit: int
     long = df.select(F.col(key).alias("key"), F.col(text).alias("whole")).where(F.length("whole") > limit)
     new = F.regexp_extract_all(masked(F.col("whole"), limit - overlap), F.lit(piece_pattern(limit, overlap)), F.lit(0))
     parts = long.select("key", "whole", new.alias("new"))
-    laid = parts.select("key", "whole", "new", F.posexplode("new").alias("piece", "own"))
+    # a long text has a piece always; a plain posexplode would infer a filter on its size and run the expressions for it again
+    laid = parts.select("key", "whole", "new", F.posexplode_outer("new").alias("piece", "own"))
     begun = F.expr("aggregate(slice(new, 1, piece), 0, (n, x) -> n + length(x))")
     shared = F.when(F.col("piece") == 0, 0).otherwise(shared_length(F.expr("new[greatest(piece - 1, 0)]"), overlap))
     laid = laid.select("key", "whole", "piece", F.size("new").alias("n_pieces"), (begun - shared).alias("start"), F.length("own").alias("n_new"), shared.alias("shared"))
