@@ -18,14 +18,14 @@ from re import _constants as sre_constants, _parser as sre_parser
 import ahocorasick
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from trialspan.llm.shares import share_bound
 from trialspan.runtime import cut
 
-#: a line recurs on a host if such a share of its other documents have it, by the lower Wilson bound
-#: of so many deviations, so that a host of any size is judged alike
+#: a line recurs on a host if such a share of its other documents have it, by the lower Wilson bound,
+#: so that a host of any size is judged alike
 RECURS_SHARE = 0.02
-DEVIATIONS = 2.6
 #: so many words in lines that neither recur nor hold evidence are content; so is a line that recurs, but is a
 #: closed passage of as many words: a copied text, no furniture
 CONTENT_WORDS = 40
@@ -300,13 +300,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def lower_share(hits: Column, n: Column) -> Column:
-    """Lower Wilson bound of the share ``hits`` / ``n``; null where ``n`` is zero."""
-    z = DEVIATIONS**2
-    share = F.try_divide(hits, n)
-    return (share + z / (2 * n) - DEVIATIONS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
-
-
 def evidence(documents: DataFrame) -> DataFrame:
     """Residual evidence of each document: (doc_id, source, kind, line, evidence).
 
@@ -320,7 +313,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     found = cut(texts.mapInArrow(_scan, _FOUND))
     hosts = found.groupBy("source").agg(F.count("*").alias("documents"))
     counted = found.select("source", F.explode(F.array_distinct("lines")).alias("hash")).groupBy("source", "hash").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    recurs = lower_share(F.col("l.others"), F.col("h.documents") - 1) >= RECURS_SHARE
+    recurs = share_bound(F.col("l.others"), F.col("h.documents") - 1, -1) >= RECURS_SHARE
     recurrent = counted.alias("l").join(hosts.alias("h"), F.expr("l.source <=> h.source")).where(recurs).select(F.col("l.source").alias("host"), F.col("l.hash").alias("furniture"))
 
     held = found.where("size(evidence) > 0").withColumn("row", F.monotonically_increasing_id())
