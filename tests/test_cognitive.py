@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspan.operators import cognitive as C
+from trialspan.operators.pooled import pooled_folds
 
 RNG = np.random.default_rng(1)
 SESSIONS = [[{"deck": str(RNG.choice(list("ABCDX"))), "gain": float(RNG.integers(0, 3)), "loss": float(RNG.integers(0, 4))} for _ in range(n)] for n in (30, 1, 0, 45)]
@@ -67,15 +68,62 @@ def test_descent_finds_the_minimum():
     assert done and value < 1e-6 and np.allclose(x, [1, -2], atol=1e-3)
 
 
+FRAME = "k int, e string, trials array<struct<deck:string,gain:double,loss:double>>"
+
+
 def test_holdout_and_folds(spark):
-    df = spark.createDataFrame([(i, "e", SESSIONS[3]) for i in range(4)], "k int, e string, trials array<struct<deck:string,gain:double,loss:double>>")
-    rows = C.holdout(df, "k", "trials", "pvl", fit_trials=30, starts=1, steps=5).collect()
-    assert all(r.eval_mean_nll > 0 for r in rows)
+    df = spark.createDataFrame([(i, "e", SESSIONS[3]) for i in range(4)], FRAME)
+    rows = C.holdout(df, "k", "trials", "pvl", fit_trials=30, starts=2, steps=60).collect()
+    assert all(r.status == "ok" and r.eval_mean_nll > 0 for r in rows)
+    assert all(r.eval_mean_nll is None for r in C.holdout(df, "k", "trials", "pvl", fit_trials=30, starts=1, steps=1).collect())
     assert {r.status for r in C.holdout(df, "k", "trials", "pvl", fit_trials=40, starts=1, steps=5).collect()} == {"too_short"}
     with pytest.raises(ValueError):
         C.holdout(df, "k", "trials", "pvl")
     folds = C.hash_folds(df, "k", "e", 5).collect()
     assert sorted(r.fold for r in folds) == [0, 1, 2, 3]
-    out = C.pooled_folds(df, "k", "trials", "e", "pvl", folds=2, starts=1, steps=3).collect()
-    assert len(out) == 4 and all(r.status == "tiny_cohort" for r in out)
     assert sorted(np.bincount(C.exact_folds(11, "e", 5, 0)).tolist()) == [2, 2, 2, 2, 3]
+
+
+def real_sessions(n, seed, m=60):
+    rng = np.random.default_rng(seed)
+    return [[{"deck": "ABCD"[int(rng.integers(0, 4) * rng.random() ** 0.5)], "gain": float(rng.integers(0, 3)), "loss": float(rng.integers(0, 4))} for _ in range(m)] for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", list(C.MODELS))
+def test_fits_together_are_as_good_as_fits_one_by_one(name):
+    sessions = real_sessions(3, 7)
+    x, fun, ok = C.fit_each(name, C.Sessions.of([*sessions, [], None]), starts=6, steps=150)
+    for i, s in enumerate(sessions):
+        alone = C.fit(name, C.Sessions.of([s]), starts=6, steps=150)
+        assert fun[i] <= alone["fun"] * 1.02 + 0.05 and fun[i] == pytest.approx(C.total(C.model(name)[0](x[i], C.Sessions.of([s]))))
+    assert np.isinf(fun[3:]).all() and not ok[3:].any()
+
+
+def test_fits_of_sessions_keep_provenance_and_state_failures(spark):
+    rows = [(i, "e", s) for i, s in enumerate(real_sessions(3, 3))] + [(9, None, []), (10, "e", None), (11, "e", [{"deck": "X", "gain": 1.0, "loss": None}])]
+    df = spark.createDataFrame([(*r, "s") for r in rows], FRAME.replace("e string", "experiment string") + ", subject_id string")
+    got = {r.k: r for r in C.fit_sessions(df, "k", "trials", "orl", starts=2, steps=80).collect()}
+    assert {k: r.status for k, r in got.items() if k > 2} == {9: "fit_failed", 10: "fit_failed", 11: "fit_failed"} and got[1].subject_id == "s" and len(got[1].per_trial) == 60
+    assert C.fit_sessions(df.limit(0), "k", "trials", "orl").count() == 0
+
+
+def test_pooled_totals_are_infinite_if_one_session_has_none():
+    assert C.pooled_total(np.array([[1.0, np.nan], [np.nan, np.nan]])) == float("inf") and C.pooled_total(np.array([[1.0, np.nan], [2.0, 3.0]])) == 6.0
+
+
+def test_pooled_folds_use_all_training_sessions(spark):
+    sessions = real_sessions(12, 5, 30)
+    rows = [(i, "e" if i < 10 else "small", f"u{i // 2}" if i < 10 else "one", s) for i, s in enumerate(sessions)]
+    df = spark.createDataFrame(rows, "k int, experiment string, u string, trials array<struct<deck:string,gain:double,loss:double>>").repartition(3)
+    out = pooled_folds(df, "k", "u", "trials", "experiment", "pvl", folds=5, starts=3, steps=80).collect()
+    assert len(out) == 12 and {r.status for r in out if r.experiment == "small"} == {"excluded_tiny_train"}
+    by = {}
+    for r in out:
+        if r.experiment == "e":
+            by.setdefault(r.fold, []).append(r)
+    assert len(by) == 5 and all(len({r.u for r in rs}) == 1 and len(rs) == 2 and rs[0].n_train == 4 and rs[0].low_train_warning for rs in by.values())
+    for rs in by.values():
+        train = C.Sessions.of([s for i, _, u, s in rows if i < 10 and u != rs[0].u])
+        assert rs[0].fit_nll == pytest.approx(C.pooled_total(C.pvl_delta(np.array(rs[0].params), train)))
+        assert rs[0].fit_nll <= C.fit("pvl", train, starts=3, steps=150, seed=20260506)["fun"] * 1.01
+    assert pooled_folds(df.limit(0), "k", "u", "trials", "experiment", "pvl").count() == 0

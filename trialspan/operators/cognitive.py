@@ -10,20 +10,24 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 DECKS = {"A": 0, "B": 1, "C": 2, "D": 3}
+_TRIALS = pa.list_(pa.struct([("deck", pa.string()), ("gain", pa.float64()), ("loss", pa.float64())]))
 
 
-def _squash(x: float) -> float:
-    return 1 / (1 + np.exp(-x)) if abs(x) < 50 else float(x > 0)
+def _squash(x):
+    """The sigmoid, held at 0 and 1 from 50 on; for numbers and arrays."""
+    x = np.asarray(x, float)
+    return np.where(np.abs(x) < 50, 1 / (1 + np.exp(-np.clip(x, -50, 50))), (x > 0).astype(float))
 
 
-def _grow(x: float) -> float:
+def _grow(x):
     """3 to the softplus of x, less one: a positive number."""
-    return 3.0 ** (np.log1p(np.exp(x)) if x < 50 else x) - 1.0
+    x = np.asarray(x, float)
+    return 3.0 ** np.where(x < 50, np.log1p(np.exp(np.minimum(x, 50))), x) - 1.0
 
 
 @dataclass
@@ -36,15 +40,22 @@ class Sessions:
     lengths: np.ndarray
 
     @classmethod
-    def of(cls, trials: list) -> Sessions:
-        lengths = np.array([0 if t is None else len(t) for t in trials], int)
-        shape = (len(trials), int(lengths.max(initial=0)))
+    def of(cls, trials: list | pa.Array) -> Sessions:
+        """Sessions as lists of trials, or as an Arrow list of structs, whose values are laid out by their offsets."""
+        if not isinstance(trials, pa.Array):
+            trials = pa.array([None if t is None else list(t) for t in trials], _TRIALS)
+        starts = trials.offsets.to_numpy().astype(np.int64)
+        flat = trials.values.slice(starts[0], starts[-1] - starts[0])
+        lengths = np.where(trials.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
+        row, at = np.repeat(np.arange(len(lengths)), np.diff(starts)), np.arange(len(flat)) - np.repeat(starts[:-1] - starts[0], np.diff(starts))
+        shape = (len(lengths), int(lengths.max(initial=0)))
         deck, gain, loss = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
-        for i, session in enumerate(trials):
-            for j, t in enumerate(session if session is not None else ()):
-                if t is not None:
-                    deck[i, j] = DECKS.get(t["deck"], -1)
-                    gain[i, j], loss[i, j] = t["gain"] or 0.0, t["loss"] or 0.0
+        held = np.repeat(lengths > 0, np.diff(starts))
+        row, at = row[held], at[held]
+        columns = [pc.struct_field(flat, name) for name in ("deck", "gain", "loss")]
+        deck[row, at] = pc.fill_null(pc.index_in(columns[0].cast(pa.string()), pa.array(list(DECKS))), -1).to_numpy(zero_copy_only=False)[held]
+        for out, column in ((gain, columns[1]), (loss, columns[2])):
+            out[row, at] = pc.fill_null(column.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)[held]
         return cls(deck, gain, loss, lengths)
 
     def only(self, rows: np.ndarray, trials: int | None = None) -> Sessions:
@@ -122,6 +133,12 @@ def model(name: str) -> tuple[Callable[[np.ndarray, Sessions], np.ndarray], int]
     return MODELS[name]
 
 
+def pooled_total(nll: np.ndarray) -> float:
+    """Sum over sessions, one a row, of their totals; infinite as soon as one session has no finite trial."""
+    fine = np.isfinite(nll)
+    return float(np.where(fine, nll, 0.0).sum()) if fine.any(axis=1).all() else float("inf")
+
+
 def total(nll: np.ndarray) -> float:
     """Sum over finite trials, infinite if there is none."""
     fine = np.isfinite(nll)
@@ -137,7 +154,7 @@ def trial_likelihoods(df: DataFrame, key: str, trials: str, name: str, params: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = Sessions.of(batch.column(1).to_pylist())
+            s = Sessions.of(batch.column(1))
             with np.errstate(all="ignore"):
                 nll = fn(p, s) / 1.0
             rows = [nll[i, :n].tolist() for i, n in enumerate(s.lengths)]
@@ -146,6 +163,26 @@ def trial_likelihoods(df: DataFrame, key: str, trials: str, name: str, params: l
     return df.select(key, trials).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, per_trial array<double>, total_nll double")
 
 
+def mean_likelihoods(df: DataFrame, key: str, trials: str, models: dict[str, list[float]]) -> DataFrame:
+    """(key, one column for each model): mean likelihood of the finite trials under each model's fixed parameters, null where there are none.
+
+    All models go over a session in one pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, out = Sessions.of(batch.column(1)), []
+            for name, params in models.items():
+                with np.errstate(all="ignore"):
+                    nll = model(name)[0](np.array(params, float), s)
+                fine = np.isfinite(nll)
+                n = fine.sum(axis=1)
+                out.append(pa.array([float(x / c) if c else None for x, c in zip(np.where(fine, nll, 0.0).sum(axis=1), n, strict=True)], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=[key, *models])
+
+    return df.select(key, trials).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"`{m}` double" for m in models))
+
+
 def pvl_fold(trials: Column, rate: float, curve: float, aversion: float, c: float) -> Column:
     """The PVL recursion as one fold of built-in functions; equal to ``pvl_delta``, without Python."""
     state = F.struct(F.array(*[F.lit(0.0)] * 4).alias("ev"), F.array().cast("array<double>").alias("out"))
@@ -213,67 +250,197 @@ def fit(name: str, s: Sessions, starts: int = 8, steps: int = 200, seed: int = 0
     best: tuple | None = None
     with np.errstate(all="ignore"):
         for _ in range(starts):
-            found = minimise(lambda p: total(fn(p, s)), rng.normal(0, 1, k), steps)
+            found = minimise(lambda p: pooled_total(fn(p, s)), rng.normal(0, 1, k), steps)
             if best is None or (np.isfinite(found[1]) and found[1] < best[1]):
                 best = found
     return {"params": best[0].tolist(), "fun": best[1], "success": best[2], "nit": best[3]}
 
 
-_FIT = "params array<double>, fun double, success boolean, nit int, n_trials int"
+class Descent:
+    """Quasi-Newton descents of several starts at once: a step takes the values around each place, then those along each direction."""
+
+    LENGTHS = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.005])
+
+    def __init__(self, starts: np.ndarray, tolerance: float = 1e-6) -> None:
+        self.x, self.tolerance = starts, tolerance
+        n, k = starts.shape
+        self.value, self.gradient = np.full(n, np.inf), np.zeros((n, k))
+        self.inverse = np.tile(np.eye(k), (n, 1, 1))
+        self.done, self.converged, self.fresh = np.zeros(n, bool), np.zeros(n, bool), True
+        self.nit = 0
+
+    def around(self) -> np.ndarray:
+        """The points of central differences about each start's place, the place itself first."""
+        k = self.x.shape[1]
+        self.h = 1e-4 * np.maximum(1.0, np.abs(self.x))
+        offsets = np.concatenate([np.zeros((1, k)), np.eye(k), -np.eye(k)])
+        return (self.x[:, None, :] + offsets[None] * self.h[:, None, :]).reshape(-1, k)
+
+    def take_gradient(self, values: np.ndarray) -> None:
+        n, k = self.x.shape
+        values = values.reshape(n, 2 * k + 1)
+        with np.errstate(all="ignore"):
+            gradient = (values[:, 1 : k + 1] - values[:, k + 1 :]) / (2 * self.h)
+        if not self.fresh:
+            for i in np.nonzero(~self.done)[0]:
+                y, s = gradient[i] - self.gradient[i], self.step[i]
+                if s @ y > 1e-10 and np.isfinite(y).all():
+                    rho, eye = 1 / (s @ y), np.eye(k)
+                    self.inverse[i] = (eye - rho * np.outer(s, y)) @ self.inverse[i] @ (eye - rho * np.outer(y, s)) + rho * np.outer(s, s)
+        self.value, self.gradient = values[:, 0], gradient
+        self.done |= ~np.isfinite(values).all(axis=1)
+        if self.fresh:
+            self.inverse /= np.maximum(1.0, np.abs(np.nan_to_num(gradient)).sum(axis=1))[:, None, None]
+        self.fresh = False
+
+    def along(self) -> np.ndarray:
+        self.direction = -np.einsum("nij,nj->ni", self.inverse, np.nan_to_num(self.gradient))
+        return (self.x[:, None, :] + self.LENGTHS[None, :, None] * self.direction[:, None, :]).reshape(-1, self.x.shape[1])
+
+    def take_step(self, values: np.ndarray) -> None:
+        self.nit += 1
+        values = np.where(np.isfinite(values), values, np.inf).reshape(len(self.x), -1)
+        at, best = values.argmin(axis=1), values.min(axis=1)
+        better = (best < self.value) & ~self.done
+        self.step = np.where(better[:, None], self.LENGTHS[at][:, None] * self.direction, 0.0)
+        small = np.abs(self.value - best) <= self.tolerance * np.maximum(1.0, np.abs(self.value))
+        settled = ~self.done & (~better | small)
+        self.converged |= settled & np.isfinite(self.value)
+        self.x, self.value = self.x + self.step, np.where(better, best, self.value)
+        self.done |= settled
+
+    def best(self) -> tuple[list[float] | None, float, bool]:
+        fine = np.where(np.isfinite(self.value), self.value, np.inf)
+        i = int(fine.argmin())
+        return (self.x[i].tolist(), float(fine[i]), bool(self.converged[i])) if np.isfinite(fine[i]) else (None, float("inf"), False)
+
+
+def fit_each(name: str, s: Sessions, starts: int = 8, steps: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A fit for each session by itself, all of them and all their starts advanced together: parameters, totals, whether converged.
+
+    A session without any valid trial has an infinite total.
+    """
+    fn, k = model(name)
+    n = len(s.deck)
+    d = Descent(np.tile(np.random.default_rng(seed).normal(0, 1, (starts, k)), (n, 1)))
+    owner = np.repeat(np.arange(n), starts)
+
+    def totals(points: np.ndarray, live: np.ndarray) -> np.ndarray:
+        out, times = np.full(len(points), np.inf), len(points) // len(owner)
+        asked = np.nonzero(np.repeat(live, times))[0]
+        for part in np.array_split(asked, max(1, len(asked) // 20_000)):
+            with np.errstate(all="ignore"):
+                nll = fn(points[part].T[:, :, None], s.only(np.repeat(owner, times)[part]))
+            fine = np.isfinite(nll)
+            out[part] = np.where(fine.any(axis=1), np.where(fine, nll, 0.0).sum(axis=1), np.inf)
+        return out
+
+    for _ in range(steps):
+        live = ~d.done
+        if not live.any():
+            break
+        kept = d.value.copy(), d.gradient.copy()
+        d.take_gradient(totals(d.around(), live))
+        d.value[~live], d.gradient[~live] = kept[0][~live], kept[1][~live]
+        d.take_step(totals(d.along(), ~d.done))
+    values = d.value.reshape(n, starts)
+    best = np.where(np.isfinite(values), values, np.inf).argmin(axis=1)
+    at = np.arange(n) * starts + best
+    return d.x[at], d.value[at], d.converged[at]
+
+
+#: what is carried from a session to the rows of its fits
+PROVENANCE = ("subject_id", "manifest", "experiment", "cohort", "igt_version", "deck_map")
+
+
+def _kept(df: DataFrame, key: str, kept: tuple[str, ...]) -> tuple[list[str], str]:
+    names = [key, *[c for c in kept if c in df.columns and c != key]]
+    return names, ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in names)
+
+
+def _rows(batch: pa.RecordBatch, names: list[str], more: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(x, t) for x, t in more.values()]], names=[*names, *more])
 
 
 def fit_sessions(df: DataFrame, key: str, trials: str, name: str, starts: int = 8, steps: int = 200, seed: int = 0) -> DataFrame:
-    """A fit for each session by itself, in parallel over rows."""
+    """A fit for each session by itself, in its whole length, with the session's provenance.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame[key], frame[trials], strict=True):
-                s = Sessions.of([t])
-                r = fit(name, s, starts, steps, seed)
-                rows.append((k, r["params"], r["fun"], r["success"], r["nit"], int(s.lengths[0])))
-            yield pd.DataFrame(rows, columns=[key, "params", "fun", "success", "nit", "n_trials"])
+    All sessions of an Arrow batch are fitted together. A session without any valid trial has
+    status ``fit_failed`` and no parameters; others are ``ok`` or ``fit_not_converged``.
+    """
+    fn, _ = model(name)
+    names, fields = _kept(df, key, PROVENANCE)
 
-    return df.select(key, trials).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {_FIT}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Sessions.of(batch.column(len(names)))
+            x, fun, ok = fit_each(name, s, starts, steps, seed)
+            with np.errstate(all="ignore"):
+                nll = fn(x.T[:, :, None], s)
+            held = np.isfinite(fun)
+            yield _rows(batch, names, {
+                "params": ([p.tolist() if h else None for p, h in zip(x, held, strict=True)], pa.list_(pa.float64())), "fun": ([float(v) if h else None for v, h in zip(fun, held, strict=True)], pa.float64()),
+                "success": (ok & held, pa.bool_()), "n_trials": (s.lengths, pa.int32()), "per_trial": ([nll[i, :n].tolist() if h else None for i, (n, h) in enumerate(zip(s.lengths, held, strict=True))], pa.list_(pa.float64())),
+                "status": (np.where(~held, "fit_failed", np.where(ok, "ok", "fit_not_converged")).tolist(), pa.string()),
+            })
+
+    out = df.select(*names, trials).mapInArrow(run, f"{fields}, params array<double>, fun double, success boolean, n_trials int, per_trial array<double>, status string")
+    return out.withColumns({"model": F.lit(name), "metric": F.lit("in_sample")})
 
 
 def holdout(df: DataFrame, key: str, trials: str, name: str, fit_trials: int | None = None, fit_share: float | None = None, least_fit: int = 20, least_eval: int = 10, starts: int = 8, steps: int = 200, seed: int = 0) -> DataFrame:
     """Fit on the first trials of each session and evaluate on the rest, the state carried over.
 
-    Exactly one of ``fit_trials`` and ``fit_share`` is given. Sessions with too few trials on
-    either side have status ``too_short`` and no likelihood.
+    Exactly one of ``fit_trials`` and ``fit_share`` is given. Status: ``too_short`` where either
+    side has too few trials, ``fit_failed``, ``fit_not_converged``, ``eval_nonfinite`` or ``ok``;
+    only a converged fit is evaluated.
     """
     if (fit_trials is None) == (fit_share is None):
         raise ValueError("give either fit_trials or fit_share")
     fn, _ = model(name)
+    names, fields = _kept(df, key, PROVENANCE)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame[key], frame[trials], strict=True):
-                s = Sessions.of([t])
-                n = int(s.lengths[0])
-                cut = fit_trials if fit_trials is not None else int(fit_share * n)
-                if cut < least_fit or n - cut < least_eval:
-                    rows.append((k, cut, None, None, "too_short"))
-                    continue
-                r = fit(name, s.only(np.array([0]), cut), starts, steps, seed)
-                with np.errstate(all="ignore"):
-                    rest = fn(np.array(r["params"]), s)[0, cut:n]
-                fine = rest[np.isfinite(rest)]
-                rows.append((k, cut, r["fun"], float(fine.mean()) if len(fine) else None, "ok" if r["success"] else "fit_not_converged"))
-            yield pd.DataFrame(rows, columns=[key, "fit_trials", "fit_nll", "eval_mean_nll", "status"]).astype({"fit_trials": "int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Sessions.of(batch.column(len(names)))
+            n = s.lengths
+            cut = np.full(len(n), fit_trials) if fit_trials is not None else (fit_share * n).astype(int)
+            long = (cut >= least_fit) & (n - cut >= least_eval)
+            at = np.arange(s.deck.shape[1])
+            head = Sessions(np.where(at < cut[:, None], s.deck, -1), s.gain, s.loss, np.minimum(n, cut))
+            x, fun, ok = np.full((len(n), model(name)[1]), np.nan), np.full(len(n), np.inf), np.zeros(len(n), bool)
+            if long.any():
+                x[long], fun[long], ok[long] = fit_each(name, head.only(np.nonzero(long)[0]), starts, steps, seed)
+            with np.errstate(all="ignore"):
+                nll = fn(x.T[:, :, None], s)
+            rest = np.isfinite(nll) & (at >= cut[:, None])
+            held, told = np.isfinite(fun), np.where(rest, nll, 0.0).sum(axis=1)
+            status = np.select([~long, ~held, ~ok, ~rest.any(axis=1)], ["too_short", "fit_failed", "fit_not_converged", "eval_nonfinite"], "ok")
+            yield _rows(batch, names, {
+                "fit_trials": (cut, pa.int32()), "n_eval": (n - cut, pa.int32()), "params": ([p.tolist() if h else None for p, h in zip(x, held, strict=True)], pa.list_(pa.float64())),
+                "fit_nll": ([float(v) if h else None for v, h in zip(fun, held, strict=True)], pa.float64()),
+                "eval_mean_nll": ([float(t / c) if z == "ok" else None for t, c, z in zip(told, rest.sum(axis=1), status, strict=True)], pa.float64()), "status": (status.tolist(), pa.string()),
+            })
 
-    return df.select(key, trials).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, fit_trials int, fit_nll double, eval_mean_nll double, status string")
+    out = df.select(*names, trials).mapInArrow(run, f"{fields}, fit_trials int, n_eval int, params array<double>, fit_nll double, eval_mean_nll double, status string")
+    return out.withColumns({"model": F.lit(name), "metric": F.lit("temporal_holdout")})
 
 
-def hash_folds(df: DataFrame, key: str, group: str, folds: int = 5) -> DataFrame:
-    """Folds within each group by rank of the hash modulo the number of folds; small groups have as many folds as members."""
+def hash_folds(df: DataFrame, unit: str, group: str, folds: int = 5) -> DataFrame:
+    """(group, unit, fold, group_size): folds of the distinct units of each group, by rank of their hash modulo the number of folds.
+
+    All rows of a unit share its fold; small groups have as many folds as units. Ranks are counted in
+    4,096 hash buckets of a group and offset by the buckets before, so a hot group is no single task.
+    """
     from pyspark.sql import Window as W
 
-    order = W.partitionBy(group).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    rows = df.withColumn("_n", F.count("*").over(W.partitionBy(group)))
-    return rows.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.least(F.lit(folds), F.col("_n"))).cast("int")).withColumnRenamed("_n", "group_size")
+    units = df.select(group, unit).where(F.col(unit).isNotNull() & F.col(group).isNotNull()).distinct()
+    hashed = units.withColumn("_h", F.sha2(F.col(unit).cast("string"), 256)).withColumn("_b", F.substring("_h", 1, 3))
+    fill = hashed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    before = fill.select(group, "_b", F.sum("_n").over(W.partitionBy(group)).alias("group_size"), (F.sum("_n").over(W.partitionBy(group).orderBy("_b")) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(W.partitionBy(group, "_b").orderBy("_h", unit)) - 1
+    ranked = hashed.withColumn("_nth", nth).join(before, [group, "_b"])
+    return ranked.select(group, unit, F.pmod(F.col("_nth") + F.col("_before"), F.least(F.lit(folds), F.col("group_size"))).cast("int").alias("fold"), "group_size")
 
 
 def exact_folds(n: int, group: str, folds: int, seed: int) -> np.ndarray:
@@ -285,43 +452,12 @@ def exact_folds(n: int, group: str, folds: int, seed: int) -> np.ndarray:
     return out
 
 
-def fold_status(train: Column, group_size: Column, k: int) -> Column:
-    """``tiny_cohort``, ``low_train`` or ``ok`` of a fold, from its numbers of sessions."""
-    return F.when(group_size < 25, "tiny_cohort").when(train < max(8, 2 * k), "low_train").otherwise("ok")
-
+def fold_status(train: Column, group_size: Column, k: int, least_train: int = 2) -> Column:
+    """``excluded_tiny_train``, ``tiny_cohort``, ``low_train`` or ``ok`` of a fold, from its numbers of units."""
+    return F.when(train < least_train, "excluded_tiny_train").when(group_size < 25, "tiny_cohort").when(train < max(8, 2 * k), "low_train").otherwise("ok")
 
-def pooled_folds(df: DataFrame, key: str, trials: str, group: str, name: str, folds: int = 5, starts: int = 2, steps: int = 60, seed: int = 0, most_sessions: int = 200) -> DataFrame:
-    """Pooled cross-validation: for each group and fold one parameter vector is fitted to the other folds and evaluated on it.
 
-    A fold is one task. The fit is on a bounded, documented sample: the ``most_sessions``
-    training sessions whose hash comes first, so that no task holds a hot group; every session is
-    evaluated, in a second pass that joins the fitted vectors by group and fold.
-    """
-    fn, k = model(name)
-    assigned = hash_folds(df.select(key, group, trials), key, group, folds)
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy(group, "target").orderBy(F.sha2(F.col(key).cast("string"), 256), key))
-    targets = assigned.withColumn("target", F.explode(F.sequence(F.lit(0), F.least(F.lit(folds), F.col("group_size")).cast("int") - 1)))
-    train = targets.where("target <> fold").withColumn("_nth", nth).where(F.col("_nth") <= most_sessions)
-    gtype = dict(df.dtypes)[group]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        r = fit(name, Sessions.of(list(frame.sort_values(key)[trials])), starts, steps, seed)
-        return pd.DataFrame([[frame[group].iloc[0], int(frame["target"].iloc[0]), r["params"], r["fun"], r["success"], len(frame)]], columns=[group, "fold", "params", "fit_nll", "success", "n_train"])
-
-    fitted = train.groupBy(group, "target").applyInPandas(run, f"{group} {gtype}, fold int, params array<double>, fit_nll double, success boolean, n_train int")
-
-    def evaluate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for t, p in zip(frame[trials], frame["params"], strict=True):
-                with np.errstate(all="ignore"):
-                    nll = fn(np.asarray(p), Sessions.of([t]))[0]
-                fine = nll[np.isfinite(nll)]
-                out.append(float(fine.mean()) if len(fine) else None)
-            yield pd.DataFrame({key: frame[key], group: frame[group], "fold": frame["fold"], "n_train": frame["n_train"], "group_size": frame["group_size"], "eval_mean_nll": pd.array(out, "Float64"), "success": frame["success"]})
-
-    rows = assigned.join(fitted, [group, "fold"]).select(key, group, "fold", "n_train", "group_size", "success", trials, "params")
-    done = rows.mapInPandas(evaluate, f"{key} {dict(df.dtypes)[key]}, {group} {gtype}, fold int, n_train int, group_size long, eval_mean_nll double, success boolean")
-    return done.withColumn("status", F.when(fold_status(F.col("n_train"), F.col("group_size"), k) != "ok", fold_status(F.col("n_train"), F.col("group_size"), k)).when(~F.col("success"), "fit_not_converged").when(F.col("eval_mean_nll").isNull(), "eval_nonfinite").otherwise("ok"))
+def member_hash(unit: Column) -> Column:
+    """An aggregate that names a set of distinct units whatever their order: sums of parts of their hashes, which combine before the shuffle."""
+    part = lambda i: F.sum(F.conv(F.substring(F.md5(unit), i, 8), 16, 10).cast("long"))
+    return F.concat_ws("-", *[part(i).cast("string") for i in (1, 9, 17, 25)])

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 DECKS = ("A", "B", "C", "D")
-# The letters that decks are labelled with.
-LABELS = "BCDEFGHJKLMNPQRSTUVWXYZ"
+# The letters that decks are labelled with, the alphabet without I, O and S.
+LABELS = "ABCDEFGHJKLMNPQRTUVWXYZ"
 
 
 def label_list(deck_map: Column) -> Column:

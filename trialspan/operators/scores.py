@@ -74,3 +74,37 @@ def coverage(wide: DataFrame, contrasts: list[tuple[str, str, str]], keys: list[
         F.count("*").alias("n_sessions"), F.count(F.when(F.col("no_a"), 1)).alias("n_missing_a"),
         F.count(F.when(~F.col("no_a") & F.col("no_b"), 1)).alias("n_missing_b"), F.count(F.when(~F.col("no_a") & ~F.col("no_b"), 1)).alias("n_paired"),
     )
+
+
+def remapped(df: DataFrame, mapping: DataFrame, key: str, mapped_key: str, prefix: str) -> DataFrame:
+    """``df`` with ``origin`` and ``mapped``: the mapped cohort of its key behind ``prefix``, else its own experiment.
+
+    A key that is mapped to several cohorts belongs to the one named most often, of ties to the last by name;
+    null and unknown cohorts, and null keys, map nothing. The mapping is reduced to one row a key before the join.
+    """
+    usable = mapping.where(F.col(mapped_key).isNotNull() & F.col("cohort").isNotNull() & ~F.lower(F.trim("cohort")).isin("", "unknown"))
+    best = usable.groupBy(F.col(mapped_key).alias("_key"), "cohort").agg(F.count("*").alias("n")).groupBy("_key").agg(F.max_by("cohort", F.struct("n", "cohort")).alias("_cohort"))
+    out = df.join(best, F.col(key) == F.col("_key"), "left")
+    mapped = F.col("_key").isNotNull()
+    return out.withColumn("origin", F.when(mapped, F.concat(F.lit(prefix), "_cohort")).otherwise(F.col("experiment"))).withColumn("mapped", mapped).drop("_key", "_cohort")
+
+
+def collapsed(experiment: Column, one_study: dict[str, str], prefix: str = "igt_") -> Column:
+    """The study of an experiment: the name of the first listed prefix that it begins with, else itself without ``prefix``."""
+    out = F.regexp_replace(experiment, f"^{prefix}", "")
+    for start, name in reversed(one_study.items()):
+        out = F.when(experiment.startswith(start), name).otherwise(out)
+    return out
+
+
+def alias_maps(df: DataFrame, group: str, key: str, value: str, order: list[str], separator: str = "_") -> DataFrame:
+    """(group, id, value, by) for lookups by a whole key or by its last part.
+
+    Of rows with one whole key the last in ``order`` counts, of those with one last part the first;
+    a whole key goes before a last part that reads the same.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    whole = rows.groupBy(group, F.col(key).alias("id")).agg(F.max_by(F.struct(value), F.struct(*order)).alias("v")).withColumn("by", F.lit("id"))
+    parted = rows.where(F.contains(key, F.lit(separator))).groupBy(group, F.substring_index(key, separator, -1).alias("id")).agg(F.min_by(F.struct(value), F.struct(*order)).alias("v")).withColumn("by", F.lit("alias"))
+    both = whole.union(parted).groupBy(group, "id").agg(F.max_by(F.struct("v", "by"), F.col("by") == "id").alias("x"))
+    return both.select(group, "id", F.col(f"x.v.{value}").alias(value), "x.by")

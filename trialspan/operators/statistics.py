@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -127,45 +128,124 @@ def _exact_cluster_bootstrap(lists: DataFrame, keys: list[str], replicates: int,
     return lists.mapInPandas(run, f"{fields}, n_replicates int, low double, high double")
 
 
-def session_bootstrap(deltas: DataFrame, keys: list[str], replicates: int = 1000, seed: int = SEED) -> DataFrame:
+#: a 32-bit mixing step: any SQL engine can repeat it in 64-bit integers
+_GOLDEN, _MIX = 2654435769, 0x045D9F3B
+#: the Poisson distribution of mean 1 as bounds of a 32-bit draw
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9)]
+
+
+def draws(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """(ids, replicates) 32-bit draws, each a hash of its id's 32 bits, the replicate and the seed alone."""
+    x = (ids.astype(np.uint32)[:, None] + (replicates + seed).astype(np.uint32)[None, :] * np.uint32(_GOLDEN)).astype(np.uint32)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(_MIX)
+    return x ^ (x >> np.uint32(16))
+
+
+def replicate_sums(deltas: DataFrame, keys: list[str], replicates: int, seed: int, weights: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(keys, n, observed, w, s): per key the number and sum of its differences, and for each replicate the sums of its weights and of its weighted differences.
+
+    Each task adds up one vector of replicates for each key, whatever its number of sessions. Vectors are added in two
+    steps, so that no task gets those of all tasks; sessions are never exploded.
+    """
+    ids = F.conv(F.substring(F.md5(F.col("prompt_id")), 1, 8), 16, 10).cast("long").alias("_id")
+    fields = ", ".join(f"{k} {dict(deltas.dtypes)[k]}" for k in keys)
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        every = np.arange(replicates)
+        for batch in batches:
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True))
+            code, own = batch.column(width).to_numpy(), batch.column(width + 1).to_numpy()
+            different, place = np.unique(code, return_inverse=True)  # a session of several keys is drawn for once
+            groups: dict[tuple, list[int]] = {}
+            for i, name in enumerate(names):
+                groups.setdefault(name, []).append(i)
+            for name, rows in groups.items():
+                total = sums.setdefault(name, [0, 0.0, np.zeros(replicates), np.zeros(replicates)])
+                total[0] += len(rows)
+                total[1] += float(own[rows].sum())
+            for start in range(0, len(different), 256):
+                w = weights(draws(different[start : start + 256], every, seed))
+                for name, rows in groups.items():
+                    mine = np.array(rows)[(place[rows] >= start) & (place[rows] < start + 256)]
+                    if len(mine):
+                        drawn = w[place[mine] - start]
+                        sums[name][2] += drawn.sum(axis=0)
+                        sums[name][3] += own[mine] @ drawn
+        yield _vectors(sums)
+
+    def _vectors(sums: dict[tuple, list]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in sums]) for i in range(width)] if sums else [pa.array([], pa.string())] * width
+        rest = [pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.float64()), *[pa.array([v[i] for v in sums.values()], pa.list_(pa.float64())) for i in (2, 3)]]
+        return pa.RecordBatch.from_arrays([*columns, *rest], names=[*keys, "n", "observed", "w", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        vector = lambda c: np.vstack([np.asarray(x) for x in table.column(c).to_pylist()]).sum(axis=0)
+        one = {tuple(table.column(k)[0].as_py() for k in keys): [sum(table.column("n").to_pylist()), sum(table.column("observed").to_pylist()), vector("w"), vector("s")]}
+        return pa.Table.from_batches([_vectors(one)])
+
+    schema = f"{fields}, n long, observed double, w array<double>, s array<double>"
+    parts = deltas.where("delta IS NOT NULL AND prompt_id IS NOT NULL").select(*keys, ids, F.col("delta").cast("double")).mapInArrow(run, schema)
+    first = parts.withColumn("_part", F.spark_partition_id() % 64).groupBy(*keys, "_part").applyInArrow(lambda t: add(t.drop_columns("_part")), schema)
+    return first.groupBy(*keys).applyInArrow(add, schema)
+
+
+def session_bootstrap(deltas: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = SEED) -> DataFrame:
     """Bounds of the mean by a Poisson bootstrap: each session counts a hash-drawn number of times in each replicate.
 
     A session's weight depends on its id, the replicate and the seed alone, so partitions need not
     be known to each other and the partial sums combine before the shuffle.
     """
-    table = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    rows = deltas.select(*keys, "prompt_id", "delta", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    u = hash_draw(F.lit(1_000_000), F.lit(seed), F.col("r"), F.col("prompt_id"))
-    weight = sum((u >= int(p * 1_000_000)).cast("int") for p in table)
-    by = rows.select(*keys, "r", "delta", weight.alias("w")).groupBy(*keys, "r").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("delta")).alias("s"))
-    means = by.where("w > 0").select(*keys, (F.col("s") / F.col("w")).alias("d"))
-    return means.groupBy(*keys).agg(F.count("*").cast("int").alias("n_replicates"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    bounds = np.array(POISSON, np.uint64)
+    sums = replicate_sums(deltas, keys, replicates, seed, lambda x: np.searchsorted(bounds, x.ravel().astype(np.uint64), side="right").reshape(x.shape).astype(np.float64))
+    each = sums.select(*keys, F.explode(F.arrays_zip("w", "s")).alias("x")).where("x.w > 0").select(*keys, (F.col("x.s") / F.col("x.w")).alias("d"))
+    return each.groupBy(*keys).agg(F.count("*").cast("int").alias("n_replicates"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
 
 
-def sign_flip(deltas: DataFrame, keys: list[str], replicates: int = 1000, seed: int = SEED) -> DataFrame:
+def sign_flip(deltas: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = SEED) -> DataFrame:
     """Share of replicates with hash-drawn signs whose sum is at least as extreme as the observed, in its direction."""
-    rows = deltas.select(*keys, "prompt_id", "delta", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    sign = 1 - 2 * hash_draw(F.lit(2), F.lit(seed), F.col("r"), F.col("prompt_id"))
-    by = rows.groupBy(*keys, "r").agg(F.sum(F.col("delta") * sign).alias("flipped"), F.sum("delta").alias("observed"))
-    extreme = F.when(F.col("observed") < 0, F.col("flipped") <= F.col("observed") + 1e-12).otherwise(F.col("flipped") >= F.col("observed") - 1e-12)
-    return by.groupBy(*keys).agg(F.count("*").cast("int").alias("n_replicates"), F.avg(extreme.cast("double")).alias("p"))
+    sums = replicate_sums(deltas, keys, replicates, seed, lambda x: 1.0 - 2.0 * (x & np.uint32(1)))
+    rows = sums.select(*keys, "observed", F.explode("s").alias("flipped"))
+    extreme = F.when(F.col("observed") < 0, F.col("flipped") <= F.col("observed") + 1e-9).otherwise(F.col("flipped") >= F.col("observed") - 1e-9)
+    return rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n_replicates"), F.avg(extreme.cast("double")).alias("p"))
+
+
+def cluster_effect_interval(moments: DataFrame, keys: list[str], cluster: str, replicates: int = 10_000, seed: int = SEED) -> DataFrame:
+    """d of the cluster means with its bootstrap bounds: clusters drawn anew, linear percentiles; replicates without spread are left out."""
+    lists = moments.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(cluster, "m"))), lambda c: c["m"]).alias("c"))
+    rows = lists.select(*keys, "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    drawn = rows.select(*keys, "r", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 1)).alias("k"))
+    pick = F.element_at("c", (hash_draw(F.size("c"), F.lit(seed), F.col("r"), F.col("k")) + 1).cast("int"))
+    by = drawn.select(*keys, "r", pick.alias("m")).groupBy(*keys, "r").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"))
+    each = by.where("sd > 1e-12").select(*keys, (F.col("mean") / F.col("sd")).alias("d"))
+    bounds = each.groupBy(*keys).agg(F.count("*").cast("int").alias("n_replicates"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    return cluster_effect(moments, keys).join(bounds, keys, "left")
+
+
+def floor_checks(summary: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Checks outside any family of comparisons: each has the whole ``alpha``, and holds where its difference lies below zero with a smaller p."""
+    return with_p_values(summary).withColumn("alpha", F.lit(alpha)).withColumn("holds", F.coalesce(F.col("p_less") < alpha, F.lit(False)))
 
 
 _EXACT_TESTS = "n int, mean_low double, mean_high double, d_low double, d_high double, p_sign_flip double"
 
 
-def exact_resampling(deltas: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = SEED) -> DataFrame:
+def exact_resampling(deltas: DataFrame, keys: list[str], replicates: int = 10_000, seed: int = SEED, most: int = 1_000_000) -> DataFrame:
     """Session bootstraps of the mean and of d, and the sign-flip test, on the random streams of a numpy generator.
 
     The streams are sequential, so a key's differences are ordered by session and taken by one
-    task: this form is for keys of a bounded number of sessions; ``session_bootstrap`` and
-    ``sign_flip`` have no such bound.
+    task: a key of more than ``most`` sessions is an error; ``session_bootstrap`` and ``sign_flip``
+    have no such bound.
     """
     fields = ", ".join(f"{k} {dict(deltas.dtypes)[k]}" for k in keys)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values("prompt_id")["delta"].to_numpy()
         n = len(x)
+        if n > most:
+            raise ValueError(f"a key has {n} sessions; the sequential streams are for up to {most}")
         rng = np.random.default_rng(seed)
         means = np.array([x[rng.integers(0, n, n)].mean() for _ in range(replicates)])
         rng = np.random.default_rng(seed)
@@ -188,8 +268,8 @@ def exact_resampling(deltas: DataFrame, keys: list[str], replicates: int = 10_00
 
 
 def bonferroni(summary: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """The family's threshold: ``alpha`` by the number of comparisons made."""
-    return summary.withColumn("alpha_family", F.lit(alpha) / F.count("*").over(W.partitionBy()))
+    """The family's threshold: ``alpha`` by the number of comparisons that could be computed, those with a d."""
+    return summary.withColumn("alpha_family", F.lit(alpha) / F.nullif(F.count("d").over(W.partitionBy()), F.lit(0)))
 
 
 def verdict(d, p, win: float = 0.10, alpha: float = 0.05):

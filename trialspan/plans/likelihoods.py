@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspan.functions.numbers import total
+from trialspan.functions.numbers import finite, total
+from trialspan.functions.text import one_spelling
 from trialspan.operators import cognitive as C, likelihood as L, statistics as X
+from trialspan.operators.pooled import pooled_folds
+from trialspan.operators.scores import latest_scores, paired_summary, wide_scores
 from trialspan.runtime import table
 
 #: the fixture's deck tokens and number of saved alternatives
@@ -73,35 +76,82 @@ def orl_per_trial_nll(spark: SparkSession, sf: str) -> DataFrame:
     return C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "orl", ORL)
 
 
+#: starts and steps of the registered fits
+STARTS, STEPS = 2, 40
+
+
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest delivery of each session that has trials, with its provenance, its participant and amounts in whole units."""
+    rows = table(spark, sf, "session_manifest").where("prompt_id IS NOT NULL AND size(trials) > 0")
+    kept = ("subject_id", "manifest", "cohort", "igt_version", "deck_map", "trials")
+    last = rows.groupBy("prompt_id").agg(F.max_by(F.struct(*kept, one_spelling(F.col("experiment")).alias("experiment")), F.struct("loaded_at", "row_id")).alias("r")).select("prompt_id", "r.*")
+    amounts = F.transform("trials", lambda t: F.struct(t["deck"].alias("deck"), (t["gain"] / 100).alias("gain"), (F.abs(t["loss"]) / 100).alias("loss")))
+    return last.withColumns({"trials": amounts, "participant": F.coalesce(F.nullif(F.lower(F.trim("subject_id")), F.lit("")), "prompt_id"), "experiment": F.coalesce("experiment", F.lit("unknown"))})
+
+
 def temporal_holdout_nll(spark: SparkSession, sf: str) -> DataFrame:
-    """The later half of each session under parameters held fixed, the state carried over from the first half."""
-    rows = C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "orl", ORL)
-    half = F.floor(F.size("per_trial") / 2).cast("int")
-    rest = F.filter(F.slice("per_trial", half + 1, F.size("per_trial")), lambda x: ~F.isnan(x))
-    return rows.select("prompt_id", half.alias("fit_trials"), F.size(rest).alias("n_evaluated"), F.try_divide(total(rest), F.size(rest)).alias("eval_mean_nll"))
+    """Fitted on the first half of each session, evaluated on the rest with the state carried over."""
+    return C.holdout(_people(spark, sf), "prompt_id", "trials", "pvl", fit_share=0.5, starts=STARTS, steps=STEPS).drop("deck_map")
+
+
+def in_sample_fits(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fit_sessions(_people(spark, sf), "prompt_id", "trials", "pvl", starts=STARTS, steps=STEPS).drop("per_trial", "deck_map")
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    unit = F.coalesce(F.nullif(F.lower(F.trim("subject_id")), F.lit("")), "prompt_id")
+    return table(spark, sf, "session_manifest").select(unit.alias("participant"), one_spelling(F.col("experiment")).alias("experiment"))
 
 
 def kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "session_manifest").select("prompt_id", "experiment").where("prompt_id IS NOT NULL AND experiment IS NOT NULL").distinct()
-    return C.hash_folds(rows, "prompt_id", "experiment").select("prompt_id", "experiment", "fold", "group_size")
+    """Folds of participants: all sessions of one lie in one fold of an experiment."""
+    return C.hash_folds(_units(spark, sf), "participant", "experiment")
 
 
 def kfold_status(spark: SparkSession, sf: str) -> DataFrame:
-    folds = kfold_assignment(spark, sf).groupBy("experiment", "fold").agg(F.count("*").alias("n_held"), F.first("group_size").alias("group_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("prompt_id")), "\n"), 256).alias("members"))
-    return folds.select("experiment", "fold", "n_held", "members", C.fold_status(F.col("group_size") - F.col("n_held"), F.col("group_size"), 5).alias("status"))
+    folds = kfold_assignment(spark, sf)
+    parts = [F.sum(F.conv(F.substring(F.md5("participant"), i, 8), 16, 10).cast("long")).alias(f"m{i}") for i in (1, 9)]
+    held = folds.groupBy("experiment", "fold").agg(F.count("*").alias("n_held"), F.first("group_size").alias("group_size"), *parts)
+    whole = held.groupBy("experiment").agg(F.sum("m1").alias("a1"), F.sum("m9").alias("a9"))
+    both = held.join(whole, "experiment")
+    return both.select(
+        "experiment", "fold", "n_held", F.concat_ws("-", "m1", "m9").alias("eval_members"), F.concat_ws("-", F.col("a1") - F.col("m1"), F.col("a9") - F.col("m9")).alias("train_members"),
+        C.fold_status(F.col("group_size") - F.col("n_held"), F.col("group_size"), 5).alias("status"),
+    )
 
 
 def pooled_kfold_fit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _sessions(spark, sf).withColumn("experiment", F.coalesce("experiment", F.lit("unknown")))
-    return C.pooled_folds(rows, "prompt_id", "trials", "experiment", "pvl", folds=2, starts=1, steps=12, most_sessions=40)
+    """Five folds of participants, each fitted on all sessions of the other four."""
+    return pooled_folds(_people(spark, sf), "prompt_id", "participant", "trials", "experiment", "pvl", folds=5, starts=STARTS, steps=STEPS).drop("deck_map")
+
+
+def same_sessions_with_cognitive(spark: SparkSession, sf: str) -> DataFrame:
+    """Language models and a sequential model on exactly the sessions that all have; folds with few training participants are left out."""
+    scores = wide_scores(latest_scores(table(spark, sf, "session_nll")), ["centra70", "base70"])
+    fitted = C.hash_folds(_people(spark, sf), "participant", "experiment")
+    flagged = fitted.groupBy("experiment", "fold").agg((F.first("group_size") - F.count("*") < 8).alias("low_train_warning"))
+    rows = _people(spark, sf).join(fitted, ["experiment", "participant"]).join(F.broadcast(flagged), ["experiment", "fold"]).where(~F.coalesce("low_train_warning", F.lit(False)))
+    own = C.trial_likelihoods(rows, "prompt_id", "trials", "pvl", PVL).select("prompt_id", F.try_divide("total_nll", F.size(F.filter("per_trial", lambda x: ~F.isnan(x)))).alias("pvl"))
+    both = own.where(finite(F.col("pvl"))).join(scores.drop("experiment"), "prompt_id").dropna(subset=["centra70", "base70"])
+    return both.agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in ("pvl", "centra70", "base70")])
+
+
+def dual_metric_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """The same contrast in the metric on the deck tokens alone and in the raw one: a model against the same model with halved scores."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("scores"))
+    both = rows.select("label", (F.col("label") % 4).alias("chosen"), F.explode(F.array(F.struct(F.lit("sharp").alias("model"), F.col("scores")), F.struct(F.lit("flat").alias("model"), F.transform("scores", lambda x: x / 2).alias("scores")))).alias("x"))
+    trial = both.select("label", "x.model", L.deck_trial(L.top_alternatives(L.log_probabilities(F.col("x.scores")), 64), DECK, F.col("chosen")).alias("m"))
+    each = trial.where("m IS NOT NULL").groupBy("label").pivot("model", ["sharp", "flat"]).agg(F.avg("m.nll_renorm").alias("renorm"), F.avg("m.nll_raw").alias("raw"))
+    deltas = each.select("label", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), (F.col(f"sharp_{x}") - F.col(f"flat_{x}")).alias("delta")) for x in ("renorm", "raw")])).alias("d")).select("d.*")
+    out = paired_summary(deltas, ["metric"])
+    return out.select("metric", "n", *[F.round(c, 9).alias(c) for c in ("delta_mean", "delta_sd", "d", "t")])
 
 
 def cross_model_d(spark: SparkSession, sf: str) -> DataFrame:
     """Sequential models against each other on the same sessions, by mean trial likelihood."""
     sessions = _sessions(spark, sf)
-    each = [C.trial_likelihoods(sessions, "prompt_id", "trials", n, p).select("prompt_id", F.try_divide(F.col("total_nll"), F.size(F.filter("per_trial", lambda x: ~F.isnan(x)))).alias(n)) for n, p in (("pvl", PVL), ("orl", ORL))]
-    deltas = each[0].join(each[1], "prompt_id").select(F.lit("pvl_orl").alias("contrast"), "prompt_id", (F.col("pvl") - F.col("orl")).alias("delta")).where("delta IS NOT NULL")
-    from trialspan.operators.scores import paired_summary
+    each = C.mean_likelihoods(sessions, "prompt_id", "trials", {"pvl": PVL, "orl": ORL})
+    deltas = each.select(F.lit("pvl_orl").alias("contrast"), "prompt_id", (F.col("pvl") - F.col("orl")).alias("delta")).where("delta IS NOT NULL")
 
     return X.with_p_values(paired_summary(deltas, ["contrast"]))
 
@@ -110,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topk_argmax, renorm_session_metrics, top_saved_coverage, mass_on_deck_tokens, two_nll_definitions, pvl_per_trial_nll, pvl_by_fold, vse_per_trial_nll,
-        orl_per_trial_nll, temporal_holdout_nll, kfold_assignment, kfold_status, pooled_kfold_fit, cross_model_d,
+        orl_per_trial_nll, temporal_holdout_nll, in_sample_fits, kfold_assignment, kfold_status, pooled_kfold_fit, same_sessions_with_cognitive, dual_metric_contrast, cross_model_d,
     )
 }
 
@@ -119,6 +169,10 @@ _LOGS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(
     t AS (SELECT vec_id, label, label % 4 AS chosen, list_transform(s, lambda x: x - z) AS logs FROM z)"""
 _TOKENS = _LOGS + ", k AS (SELECT vec_id, label, chosen, unnest(logs) AS lp, generate_subscripts(logs, 1) - 1 AS token FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY lp DESC, token) AS nth FROM k)"
 
+_FOLDS = """u AS (SELECT DISTINCT coalesce(nullif(lower(trim(subject_id)), ''), prompt_id) AS participant, regexp_replace(lower(trim(experiment)), '[-\\s]+', '_', 'g') AS experiment FROM session_manifest),
+    r AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY sha256(participant), participant) - 1 AS nth, count(*) OVER (PARTITION BY experiment) AS group_size FROM u WHERE participant IS NOT NULL AND experiment IS NOT NULL),
+    f AS (SELECT experiment, participant, CAST(nth % least(5, group_size) AS INTEGER) AS fold, group_size FROM r)"""
+
 SQL = {
     "topk_argmax": f"""WITH {_TOKENS} SELECT vec_id, CAST(max(token) FILTER (nth = 1) AS INTEGER) AS best_token, round(max(lp) FILTER (nth = 1), 9) AS best_logprob,
         string_agg(CAST(token AS VARCHAR), ',' ORDER BY nth) AS tokens FROM r WHERE nth <= {TOP} GROUP BY vec_id""",
@@ -131,11 +185,17 @@ SQL = {
         SELECT count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_trials, round(avg(m), 9) AS mean_of_session_means FROM s""",
     "two_nll_definitions": f"""WITH {_LOGS}, a AS (SELECT label, logs[1:vec_id % 3 + 1] AS x FROM t), s AS (SELECT label, -list_sum(x) AS s, len(x) AS n FROM a)
         SELECT label, round(avg(s), 9) AS nll_by_trial, round(sum(s) / sum(n), 9) AS nll_by_token, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_tokens FROM s GROUP BY label""",
-    "kfold_assignment": """WITH s AS (SELECT DISTINCT prompt_id, experiment FROM session_manifest WHERE prompt_id IS NOT NULL AND experiment IS NOT NULL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY sha256(prompt_id), prompt_id) - 1 AS nth, count(*) OVER (PARTITION BY experiment) AS group_size FROM s)
-        SELECT prompt_id, experiment, CAST(nth % least(5, group_size) AS INTEGER) AS fold, group_size FROM r""",
-    "kfold_status": """WITH s AS (SELECT DISTINCT prompt_id, experiment FROM session_manifest WHERE prompt_id IS NOT NULL AND experiment IS NOT NULL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY sha256(prompt_id), prompt_id) - 1 AS nth, count(*) OVER (PARTITION BY experiment) AS n FROM s),
-        f AS (SELECT experiment, CAST(nth % least(5, n) AS INTEGER) AS fold, count(*) AS n_held, any_value(n) AS n, sha256(string_agg(prompt_id, chr(10) ORDER BY prompt_id)) AS members FROM r GROUP BY 1, 2)
-        SELECT experiment, fold, n_held, members, CASE WHEN n < 25 THEN 'tiny_cohort' WHEN n - n_held < 10 THEN 'low_train' ELSE 'ok' END AS status FROM f""",
+    "kfold_assignment": f"""WITH {_FOLDS} SELECT experiment, participant, fold, group_size FROM f""",
+    "kfold_status": f"""WITH {_FOLDS},
+        h AS (SELECT experiment, fold, count(*) AS n_held, any_value(group_size) AS n, sum(CAST('0x' || substr(md5(participant), 1, 8) AS BIGINT)) AS m1, sum(CAST('0x' || substr(md5(participant), 9, 8) AS BIGINT)) AS m9 FROM f GROUP BY 1, 2),
+        w AS (SELECT *, sum(m1) OVER (PARTITION BY experiment) AS a1, sum(m9) OVER (PARTITION BY experiment) AS a9 FROM h)
+        SELECT experiment, fold, n_held, m1 || '-' || m9 AS eval_members, (a1 - m1) || '-' || (a9 - m9) AS train_members,
+               CASE WHEN n - n_held < 2 THEN 'excluded_tiny_train' WHEN n < 25 THEN 'tiny_cohort' WHEN n - n_held < 10 THEN 'low_train' ELSE 'ok' END AS status FROM w""",
+    "dual_metric_contrast": """WITH v AS (SELECT label, label % 4 AS chosen, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
+        b AS (SELECT label, chosen, 'sharp' AS model, s FROM v UNION ALL SELECT label, chosen, 'flat', list_transform(s, lambda x: x / 2) FROM v),
+        z AS (SELECT *, list_max(s) + ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) AS z FROM b),
+        e AS (SELECT label, model, ln(list_sum(list_transform(s[1:4], lambda x: exp(x - z)))) - (s[chosen + 1] - z) AS renorm, z - s[chosen + 1] AS raw FROM z),
+        m AS (SELECT label, avg(renorm) FILTER (model = 'sharp') - avg(renorm) FILTER (model = 'flat') AS renorm, avg(raw) FILTER (model = 'sharp') - avg(raw) FILTER (model = 'flat') AS raw FROM e GROUP BY label),
+        d AS (SELECT 'renorm' AS metric, renorm AS delta FROM m UNION ALL SELECT 'raw', raw FROM m)
+        SELECT metric, count(*) AS n, round(avg(delta), 9) AS delta_mean, round(stddev_samp(delta), 9) AS delta_sd, round(avg(delta) / stddev_samp(delta), 9) AS d, round(avg(delta) / stddev_samp(delta) * sqrt(count(*)), 9) AS t FROM d GROUP BY metric""",
 }
