@@ -149,24 +149,28 @@ def cut_at_markers(text: str, limit: int, tokenize: Callable[[str], list[tuple[i
 
 
 def marker_chunks(df: DataFrame, text: str, limit: int = 8192, tokenize: Callable[[str], list[tuple[int, int]]] = tokens_of_four, safety: int = 64) -> DataFrame:
-    """``df`` with ``chunk_idx``, ``n_chunks``, ``chunk`` and ``chunk_tokens`` of each text; null texts have no chunk.
+    """``df`` with ``chunk_idx``, ``n_chunks``, ``chunk``, ``chunk_tokens`` and ``preserved`` (whether the chunks joined are the text) of each text; null texts have no chunk.
 
     ``safety`` tokens are kept free, as a chunk may have more tokens than its atoms.
     """
 
-    @pandas_udf("array<struct<chunk:string,chunk_tokens:int>>")
+    def chunks_of(t: str | None) -> list[dict]:
+        found = [] if t is None else cut_at_markers(t, limit - safety, tokenize)
+        same = "".join(found) == t
+        return [{"chunk": c, "chunk_tokens": len(tokenize(c)), "preserved": same} for c in found]
+
+    @pandas_udf("array<struct<chunk:string,chunk_tokens:int,preserved:boolean>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"chunk": c, "chunk_tokens": len(tokenize(c))} for c in cut_at_markers(t, limit - safety, tokenize)])
+        return texts.map(chunks_of)
 
     parts = df.withColumn("_parts", cut(F.col(text)))
     out = parts.select(*df.columns, F.size("_parts").alias("n_chunks"), F.posexplode("_parts").alias("chunk_idx", "_part"))
-    return out.select(*df.columns, "chunk_idx", "n_chunks", "_part.chunk", "_part.chunk_tokens")
+    return out.select(*df.columns, "chunk_idx", "n_chunks", "_part.chunk", "_part.chunk_tokens", "_part.preserved")
 
 
 def chunk_audit(chunks: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """One row of checks: texts preserved, sizes kept, characters lost, texts and chunks without markers."""
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk"))), lambda c: c["chunk"]), "")
-    by = chunks.groupBy(key).agg((whole == F.first(text)).alias("same"), F.max("chunk_tokens").alias("most"), F.sum(F.length("chunk")).alias("kept"), F.first(F.length(text)).alias("given"), F.count(F.when(~F.contains("chunk", F.lit("<<")), 1)).alias("bare"), F.count("*").alias("n"))
+    by = chunks.groupBy(key).agg(F.bool_and("preserved").alias("same"), F.max("chunk_tokens").alias("most"), F.sum(F.length("chunk")).alias("kept"), F.first(F.length(text)).alias("given"), F.count(F.when(~F.contains("chunk", F.lit("<<")), 1)).alias("bare"), F.count("*").alias("n"))
     ok = by.agg(
         F.count("*").alias("n_texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.bool_and("same"), F.lit(False)).alias("preserved"),
         F.coalesce(F.max("most"), F.lit(0)).alias("most_tokens"), F.coalesce(F.sum("given") - F.sum("kept"), F.lit(0)).alias("n_lost"), F.coalesce(F.sum("bare"), F.lit(0)).alias("n_chunks_without_marker"),

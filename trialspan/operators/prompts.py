@@ -51,6 +51,28 @@ def rendered(trials: Column, labels: Column, currency: str = " points") -> Colum
     return F.array_join(F.transform(F.coalesce(trials, F.array().cast("array<struct<deck:string,gain:double,loss:double>>")), line), "\n")
 
 
+# The sentences before the trials of a prompt, and the sentence of a trial in ``rendered``.
+PREAMBLE = (
+    "You see in front of you four decks of cards labeled {labels}.\n"
+    "You get a loan of {loan}{currency} of play money.\n"
+    "You have to select one card at a time, from any of the four decks, for {n_trials} trials.\n"
+    "You select a card from a deck by pressing the corresponding key.\n"
+    "After turning a card, you win some money, the amount varies with the deck.\n"
+    "You sometimes also have to pay a penalty, which also varies with the deck.\n"
+    "Your goal is to maximize profit on the loan of the play money.\n"
+    "\n"
+)
+
+
+def full_prompt(trials: Column, labels: Column, loan: int, n_trials: Column, currency: str) -> Column:
+    """The preamble, with the labels, the loan and the number of trials, and a line for each trial; null where there are no labels."""
+    listed = F.concat(F.array_join(F.slice(labels, 1, 3), ", "), F.lit(", and "), F.element_at(labels, 4))
+    head, rest = PREAMBLE.replace("{loan}", str(loan)).replace("{currency}", currency).split("{labels}")
+    before, after = rest.split("{n_trials}")
+    count = F.coalesce(n_trials, F.size(trials), F.lit(0)).cast("string")
+    return F.when(labels.isNotNull(), F.concat(F.lit(head), listed, F.lit(before), count, F.lit(after), rendered(trials, labels, currency)))
+
+
 _SPAN = re.compile(r"<<\s*(.*?)\s*>>", re.S)
 _SPANS = T.ArrayType(T.StructType([T.StructField("trial_index", T.IntegerType()), T.StructField("target_text", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
 

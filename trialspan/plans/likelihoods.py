@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspan.functions.numbers import finite, total
@@ -58,8 +60,14 @@ def _sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("prompt_id").agg(F.max_by(F.struct("experiment", "trials"), F.struct("loaded_at", "row_id")).alias("r")).select("prompt_id", "r.experiment", F.transform("r.trials", lambda t: F.struct(t["deck"], (t["gain"] / 100).alias("gain"), (F.abs(t["loss"]) / 100).alias("loss"))).alias("trials"))
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """Totals, and the likelihoods of the first and the last trial, of which the last has seen all states; NaN is null."""
+    known = lambda c: F.round(F.when(~F.isnan(c), c), 6)
+    return rows.select("prompt_id", F.round("total_nll", 6).alias("total_nll"), F.size("per_trial").alias("n_trials"), known(F.element_at("per_trial", 1)).alias("first_nll"), known(F.element_at("per_trial", -1)).alias("last_nll"))
+
+
 def pvl_per_trial_nll(spark: SparkSession, sf: str) -> DataFrame:
-    return C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "pvl", PVL).select("prompt_id", F.round("total_nll", 6).alias("total_nll"), F.size("per_trial").alias("n_trials"))
+    return _told(C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "pvl", PVL))
 
 
 def pvl_by_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,11 +77,11 @@ def pvl_by_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vse_per_trial_nll(spark: SparkSession, sf: str) -> DataFrame:
-    return C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "vse", VSE)
+    return _told(C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "vse", VSE))
 
 
 def orl_per_trial_nll(spark: SparkSession, sf: str) -> DataFrame:
-    return C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "orl", ORL)
+    return _told(C.trial_likelihoods(_sessions(spark, sf), "prompt_id", "trials", "orl", ORL))
 
 
 #: starts and steps of the registered fits
@@ -173,7 +181,45 @@ _FOLDS = """u AS (SELECT DISTINCT coalesce(nullif(lower(trim(subject_id)), ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY sha256(participant), participant) - 1 AS nth, count(*) OVER (PARTITION BY experiment) AS group_size FROM u WHERE participant IS NOT NULL AND experiment IS NOT NULL),
     f AS (SELECT experiment, participant, CAST(nth % least(5, group_size) AS INTEGER) AS fold, group_size FROM r)"""
 
+
+def _sig(x: float) -> float:
+    return float(C._squash(x))
+
+
+def _recursion(name: str) -> str:
+    """A recursive query of trial likelihoods (prompt_id, i, nll) of a model: state columns of four decks, one step a trial."""
+    if name == "pvl":
+        rate, curve, aversion, c = _sig(PVL[0]), 2 * _sig(PVL[1]), 10 * _sig(PVL[2]), 5 * _sig(PVL[3])
+        start, value = {"ev": "0.0"}, lambda k: f"ev{k} * {c!r}"
+        step = lambda k: {"ev": f"CASE WHEN d = {k} THEN ev{k} + {rate!r} * (CASE WHEN g > l THEN pow(g - l, {curve!r}) WHEN g < l THEN -{aversion!r} * pow(l - g, {curve!r}) ELSE 0 END - ev{k}) ELSE ev{k} END"}
+    elif name == "vse":
+        theta, delta, alpha, phi, c = _sig(VSE[0]), _sig(VSE[1]), _sig(VSE[2]), 10 * math.tanh(VSE[3]), float(C._grow(VSE[4]))
+        start, value = {"it": "0.0", "re": repr(phi)}, lambda k: f"(it{k} + re{k}) * {c!r}"
+        step = lambda k: {"it": f"it{k} * {delta!r} + CASE WHEN d = {k} THEN pow(abs(g), {theta!r}) - pow(abs(l), {theta!r}) ELSE 0 END", "re": f"CASE WHEN d = {k} THEN 0.0 ELSE re{k} + {alpha!r} * ({phi!r} - re{k}) END"}
+    else:
+        win, lose, k_, by_f, by_p = _sig(ORL[0]), _sig(ORL[1]), float(C._grow(ORL[2])), ORL[3], ORL[4]
+        start, value = {"ev": "0.0", "ef": "0.0", "ps": "0.0"}, lambda k: f"ev{k} + ef{k} * {by_f!r} + ps{k} * {by_p!r}"
+        own, other = f"(CASE WHEN g >= l THEN {win!r} ELSE {lose!r} END)", f"(CASE WHEN g >= l THEN {lose!r} ELSE {win!r} END)"
+        step = lambda k: {"ev": f"CASE WHEN d = {k} THEN ev{k} + {own} * (g - l - ev{k}) ELSE ev{k} END", "ef": f"CASE WHEN d = {k} THEN ef{k} + {own} * (sign(g - l) - ef{k}) ELSE ef{k} + {other} * (-sign(g - l) / 3.0 - ef{k}) END", "ps": f"CASE WHEN d = {k} THEN 1.0 ELSE ps{k} / {1 + k_!r} END"}
+    names = [f"{c}{k}" for c in start for k in range(1, 5)]
+    top = f"greatest({', '.join(value(k) for k in range(1, 5))})"
+    z = f"({top} + ln({' + '.join(f'exp({value(k)} - {top})' for k in range(1, 5))}))"
+    steps = {f"{c}{k}": step(k)[c] for c in start for k in range(1, 5)}
+    return f"""latest_ AS (SELECT prompt_id, trials FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY loaded_at DESC NULLS LAST, row_id DESC) AS nth FROM session_manifest WHERE prompt_id IS NOT NULL AND len(trials) > 0) WHERE nth = 1),
+        flat_ AS (SELECT prompt_id, unnest(range(1, len(trials) + 1)) AS i, unnest(trials) AS t FROM latest_),
+        step_ AS (SELECT prompt_id, i, CASE t.deck WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'D' THEN 4 ELSE 0 END AS d, coalesce(t.gain / 100, 0.0) AS g, coalesce(abs(t.loss) / 100, 0.0) AS l FROM flat_),
+        {name} AS (SELECT prompt_id, CAST(0 AS BIGINT) AS i, {', '.join(f'CAST({start[n[:-1]]} AS DOUBLE) AS {n}' for n in names)}, CAST(NULL AS DOUBLE) AS nll FROM latest_
+            UNION ALL SELECT s.prompt_id, s.i, {', '.join(f'CASE WHEN d > 0 THEN {steps[n]} ELSE {n} END' for n in names)}, CASE d {' '.join(f'WHEN {k} THEN {z} - ({value(k)})' for k in range(1, 5))} END FROM {name} r JOIN step_ s ON s.prompt_id = r.prompt_id AND s.i = r.i + 1)"""
+
+
+def _totals(name: str) -> str:
+    return f"""WITH RECURSIVE {_recursion(name)} SELECT prompt_id, coalesce(round(sum(nll) FILTER (isfinite(nll)), 6), CAST('inf' AS DOUBLE)) AS total_nll, CAST(count(*) AS INTEGER) AS n_trials,
+        round(max(nll) FILTER (i = 1), 6) AS first_nll, round(arg_max(nll, i) FILTER (i = (SELECT len(trials) FROM latest_ a WHERE a.prompt_id = {name}.prompt_id)), 6) AS last_nll FROM {name} WHERE i > 0 GROUP BY prompt_id"""
+
+
 SQL = {
+    **{f"{m}_per_trial_nll": _totals(m) for m in ("pvl", "orl", "vse")},
+    "pvl_by_fold": f"WITH RECURSIVE {_recursion('pvl')} SELECT prompt_id, coalesce(round(sum(nll) FILTER (isfinite(nll)), 6), 0.0) AS total_nll FROM pvl WHERE i > 0 GROUP BY prompt_id",
     "topk_argmax": f"""WITH {_TOKENS} SELECT vec_id, CAST(max(token) FILTER (nth = 1) AS INTEGER) AS best_token, round(max(lp) FILTER (nth = 1), 9) AS best_logprob,
         string_agg(CAST(token AS VARCHAR), ',' ORDER BY nth) AS tokens FROM r WHERE nth <= {TOP} GROUP BY vec_id""",
     "renorm_session_metrics": f"""WITH {_LOGS}, m AS (SELECT label, logs[1:4] AS d, logs[chosen + 1] AS own FROM t),

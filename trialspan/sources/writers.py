@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -51,3 +54,50 @@ def markdown(df: DataFrame, most_rows: int = 500) -> str:
         raise ValueError(f"a report has at most {most_rows} rows")
     lines = [df.columns, ["---"] * len(df.columns), *[["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def pretty_json(df: DataFrame, path: str, key: str, parameters: dict[str, str] | None = None, most_rows: int = 10_000) -> str:
+    """A small result as one indented JSON report, written to a single file; larger results are an error.
+
+    The report has the rows by the text of ``key``, the parameters and the time of the run in UTC. Returns the text.
+    """
+    rows = df.limit(most_rows + 1).toJSON().collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"a report has at most {most_rows} rows")
+    each = [json.loads(r) for r in rows]
+    report = {"created_at": utc_now(), "parameters": dict(sorted((parameters or {}).items())), "rows": {str(r.get(key)): r for r in sorted(each, key=lambda r: str(r.get(key)))}}
+    text = json.dumps(report, indent=2, ensure_ascii=False)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
+def utc_now() -> str:
+    """The time of a run as it is stated in reports and provenance: UTC, in whole seconds."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def metrics_report(metrics: DataFrame, group: str, outcomes: DataFrame | None = None, title: str = "Metrics") -> str:
+    """Markdown of three tables: metrics over all, by group, and the outcomes of trials where given."""
+    parts = [f"# {title}", "## Global", markdown(metrics.where("level = 'global'").drop("level", group)), f"## By {group}", markdown(metrics.where("level = 'group'").drop("level").orderBy(group))]
+    if outcomes is not None:
+        parts += ["## Trial outcomes", markdown(outcomes)]
+    return "\n\n".join(parts) + "\n"
+
+
+def with_trials(sessions: DataFrame, trials: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Session results and, in a folder beside them, those of their trials."""
+    sessions.write.mode(mode).json(f"{path}/sessions")
+    trials.write.mode(mode).json(f"{path}/trials")
+
+
+def archive(path: str, run_id: str) -> str:
+    """A copy of a run's outputs beside them under the run's name, on any file system that Spark knows; an earlier copy is replaced."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{run_id}")
+    fs = source.getFileSystem(conf)
+    fs.delete(target, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, target, False, conf)
+    return target.toString()
