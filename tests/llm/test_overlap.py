@@ -85,16 +85,28 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
     got = sorted((r.row_id_a, r.row_id_b) for r in O.crossing_pairs(df).collect())
     assert got == [(1, 2), (1, 2), (8, 9), (10, 11)]
-    report = O.overlap_report(O.crossing_pairs(df), df).collect()
+    report = O.overlap_report(df).collect()
     assert sum(r.n_overlapping for r in report) == 4
     empty = df.limit(0)
-    assert O.crossing_pairs(empty).count() == 0 and O.overlap_report(O.crossing_pairs(empty), empty).count() == 0
+    assert O.crossing_pairs(empty).count() == 0 and O.overlap_report(empty).count() == 0
 
 
 def test_hot_class(spark):
     s = session(40)
     df = spark.createDataFrame([(i, s, "train" if i % 2 else "test", "e", "b", "c") for i in range(60)], SCHEMA)
     assert O.crossing_pairs(df).count() == 900
+    rows = O.overlap_by_row(df).collect()
+    assert len(rows) == 30 and {(r.distance, r.n_train_rows) for r in rows} == {(0, 30)} and len({r["class"] for r in rows}) == 1
+
+
+def test_a_segment_of_many_sequences_is_spread_without_loss(spark, monkeypatch):
+    common = session(20)
+    rows = [(i, common + session(40), "train" if i % 3 else "test") for i in range(60)]
+    rows += [(100 + i, s[:-2] + session(2), "dev") for i, s, _ in rows[:20]]
+    df = spark.createDataFrame([(*r, "e", "b", "c") for r in rows], SCHEMA)
+    want = sorted((r.row_id_a, r.row_id_b) for r in O.crossing_pairs(df).collect())
+    monkeypatch.setattr(O, "HOT", 3)
+    assert want and sorted((r.row_id_a, r.row_id_b) for r in O.crossing_pairs(df).collect()) == want
 
 
 def test_evenly_spread_edits_of_repetitive_sessions(spark):

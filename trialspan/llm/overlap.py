@@ -28,6 +28,8 @@ LEAST_TRIALS = 20
 SHARE = 0.1
 #: segments beyond those needed for one in common: more must be shared, but they are shorter
 SPARE = 1
+#: a segment of more sequences than this is spread over so many tasks
+HOT, SALTS = 5000, 32
 BUCKETS = 32
 WORDS = [f"bits{i}" for i in range(BUCKETS // 8)]
 #: gains above this are hundredths
@@ -214,7 +216,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int32())), b.take(pa.array(keep, pa.int32())), pa.array(far, pa.int32())], names=["a", "b", "distance"])
 
 
-_KEYED = "class binary, n int, parts int, place int, key long, " + ", ".join(f"{w} long" for w in WORDS)
+_KEYED = "key long, id long, n int, place int, parts int"
 
 
 def _keyed(windows: bool):
@@ -224,41 +226,52 @@ def _keyed(windows: bool):
             starts = np.cumsum([0, *(len(r) // 8 for r in raw)])
             session, key, place = run_keys(np.frombuffer(b"".join(raw), np.int64), starts, windows)
             at = pa.array(session, pa.int64())
-            kept = [batch.column(c).take(at) for c in ("class", "n")]
             parts = np.array([len(segments(len(r) // 8)[1]) for r in raw], np.int32)[session]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts), pa.array(place, pa.int32()), pa.array(key), *[batch.column(w).take(at) for w in WORDS]], names=["class", "n", "parts", "place", "key", *WORDS])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c).take(at) for c in ("id", "n")], pa.array(place, pa.int32()), pa.array(parts)], names=["key", "id", "n", "place", "parts"])
 
     return run
 
 
-def _most() -> Column:
+def most_apart() -> Column:
+    """The largest distance that sequences ``p`` and ``q`` may have, by the longer one."""
     return F.expr(f"cast(floor({SHARE} * greatest(p.n, q.n) + 1e-9) as int)")
 
 
 def within_radius() -> Column:
-    """Whether classes ``p`` and ``q`` may be near: by their lengths, the places of the run they share and the Hamming distance of their histogram bits."""
-    most = _most()
-    apart = F.expr(" + ".join(f"bit_count(p.{w} ^ q.{w})" for w in WORDS))
-    return (F.expr("abs(p.n - q.n)") <= most) & (F.expr("abs(p.place - q.place)") <= most) & (apart <= 2 * most)
-
-
-def near_classes(coded: DataFrame) -> DataFrame:
-    """Pairs (a, b, distance) of different sequences, a in train and b in an evaluation split."""
-    is_train = F.col("side") == "train"
-    classes = coded.groupBy("class").agg(
-        F.max(is_train).alias("train"), F.max(~is_train).alias("held"),
-        *[F.first(c).alias(c) for c in ("n", "codes", *WORDS)],
-    )
-    classes = cut(classes)
-    lean = ["class", "n", "codes", *WORDS]
-    p = classes.where("train").select(*lean).mapInArrow(_keyed(False), _KEYED).alias("p")
-    q = classes.where("held").select(*lean).mapInArrow(_keyed(True), _KEYED).alias("q")
-    met = p.join(q, F.col("p.key") == F.col("q.key")).where((F.col("p.class") != F.col("q.class")) & within_radius())
-    by = met.groupBy(F.col("p.class").alias("a"), F.col("q.class").alias("b")).agg(F.countDistinct("p.place").alias("shared"), F.first(F.col("p.parts") - _most()).alias("least"))
-    met = by.where("shared >= least").select("a", "b")
-    texts = classes.select("class", "codes")
-    full = met.join(texts.toDF("a", "codes_a"), "a").join(texts.toDF("b", "codes_b"), "b")
-    return full.select("a", "b", "codes_a", "codes_b").mapInArrow(_verify, "a binary, b binary, distance int")
+    """Whether ``p`` and ``q`` may be near by the Hamming distance of their histogram bits."""
+    return F.expr(" + ".join(f"bit_count(p.{w} ^ q.{w})" for w in WORDS)) <= 2 * most_apart()
+
+
+def salted(p: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: a segment of more than ``HOT`` sequences of ``p`` is spread over ``SALTS`` tasks, for which the rows of ``q`` with it are repeated."""
+    hot = cut(p.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("key").alias("hot")))
+    p = p.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    spread = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return p, q.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", F.explode_outer(spread)).drop("hot")
+
+
+def sequence_classes(coded: DataFrame) -> DataFrame:
+    """The different sequences: id, class, n, codes, histogram bits, and how many rows in train and in evaluation splits have them."""
+    train = F.count(F.when(F.col("side") == "train", 1))
+    classes = coded.groupBy("class").agg(train.alias("n_train"), (F.count("*") - train).alias("n_held"), *[F.first(c).alias(c) for c in ("n", "codes", *WORDS)])
+    return cut(classes.withColumn("id", F.monotonically_increasing_id()))
+
+
+def near_classes(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, distance) of ids of different sequences, a in train and b in an evaluation split.
+
+    Segments and windows are joined by their keys alone; bits and trials are fetched for the pairs that share enough.
+    """
+    lean = ["id", "n", "codes"]
+    p, q = salted(classes.where("n_train > 0").select(*lean).mapInArrow(_keyed(False), _KEYED), classes.where("n_held > 0").select(*lean).mapInArrow(_keyed(True), _KEYED))
+    p, q = p.alias("p"), q.alias("q")
+    near = (F.expr("abs(p.n - q.n)") <= most_apart()) & (F.expr("abs(p.place - q.place)") <= most_apart()) & (F.col("p.id") != F.col("q.id"))
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.salt") == F.col("q.salt"))).where(near)
+    by = met.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.countDistinct("p.place").alias("shared"), F.first(F.col("p.parts") - most_apart()).alias("least"))
+    full = ["id", "n", "codes", *WORDS]
+    found = by.where("shared >= least").join(classes.select(*full).alias("p"), F.col("a") == F.col("p.id")).join(classes.select(*full).alias("q"), F.col("b") == F.col("q.id"))
+    found = found.where(within_radius())
+    return found.select("a", "b", F.col("p.codes").alias("codes_a"), F.col("q.codes").alias("codes_b")).mapInArrow(_verify, "a long, b long, distance int")
 
 
 def crossing_pairs(manifest: DataFrame) -> DataFrame:
@@ -270,10 +283,11 @@ def crossing_pairs(manifest: DataFrame) -> DataFrame:
     trials is compared as a whole, whatever its length.
     """
     coded = cut(coded_sessions(manifest))
-    near = near_classes(coded)
-    members = coded.select("row_id", "side", "class")
-    train = members.where("side = 'train'").select(F.col("row_id").alias("train_row_id"), F.col("class").alias("a"))
-    held = members.where("side <> 'train'").select(F.col("row_id").alias("held_row_id"), "side", F.col("class").alias("b"))
+    classes = sequence_classes(coded)
+    near = near_classes(classes)
+    members = coded.select("row_id", "side", "class").join(classes.where("n_train > 0 OR n_held > 0").select("class", "id"), "class")
+    train = members.where("side = 'train'").select(F.col("row_id").alias("train_row_id"), F.col("id").alias("a"))
+    held = members.where("side <> 'train'").select(F.col("row_id").alias("held_row_id"), "side", F.col("id").alias("b"))
     same = train.join(held, F.col("a") == F.col("b")).select("train_row_id", "held_row_id", "side", F.lit(0).alias("distance"))
     other = train.join(near, "a").join(held, "b").select("train_row_id", "held_row_id", "side", "distance")
     return same.union(other).select(
@@ -282,16 +296,31 @@ def crossing_pairs(manifest: DataFrame) -> DataFrame:
     )
 
 
-def overlap_report(pairs: DataFrame, manifest: DataFrame) -> DataFrame:
+def overlap_by_row(manifest: DataFrame) -> DataFrame:
+    """Every row of an evaluation split with enough trials: (row_id, class, distance, n_train_rows).
+
+    ``class`` names its sequence, ``n_train_rows`` is the number of its links and ``distance`` the least of
+    them, null where there is none. Copies are counted by class, not expanded to pairs.
+    """
+    coded = cut(coded_sessions(manifest))
+    classes = sequence_classes(coded)
+    links = near_classes(classes).join(classes.select(F.col("id").alias("a"), "n_train"), "a").select(F.col("b").alias("id"), "distance", "n_train")
+    links = links.union(classes.where("n_train > 0 AND n_held > 0").select("id", F.lit(0).alias("distance"), "n_train"))
+    by = links.groupBy("id").agg(F.min("distance").alias("distance"), F.sum("n_train").alias("n_train_rows"))
+    told = classes.where("n_held > 0").join(by, "id", "left").select("class", "distance", F.coalesce("n_train_rows", F.lit(0)).alias("n_train_rows"))
+    return coded.where("side <> 'train'").select("row_id", "class").join(told, "class").select("row_id", F.hex("class").alias("class"), "distance", "n_train_rows")
+
+
+def overlap_report(manifest: DataFrame) -> DataFrame:
     """Per evaluation split and experiment: rows that also stand in train, and how many exactly.
 
-    ``experiment`` is compared in one spelling (lower case, ``_`` between its parts).
+    ``experiment`` is compared in one spelling (lower case, ``_`` between its parts). Rows with too few trials count as rows.
     """
     one = F.regexp_replace(F.lower(F.trim("experiment")), "[-\\s]+", "_")
-    found = pairs.groupBy("held_row_id").agg(F.min("distance").alias("distance"), F.count("*").alias("n_train_rows"))
     rows = manifest.select("row_id", split_name(F.col("split")).alias("side"), one.alias("experiment")).where("side <> 'train'")
-    rows = rows.join(found, rows.row_id == found.held_row_id, "left")
+    found = overlap_by_row(manifest).where("n_train_rows > 0").groupBy("row_id").agg(F.min("distance").alias("distance"), F.max("n_train_rows").alias("n_train_rows"))
+    rows = rows.join(found, "row_id", "left")
     return rows.groupBy("side", "experiment").agg(
-        F.count("*").alias("n_rows"), F.count("held_row_id").alias("n_overlapping"),
+        F.count("*").alias("n_rows"), F.count("n_train_rows").alias("n_overlapping"),
         F.count(F.when(F.col("distance") == 0, 1)).alias("n_exact"), F.coalesce(F.sum("n_train_rows"), F.lit(0)).alias("n_train_rows"),
     )

@@ -37,8 +37,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = table(spark, sf_dir, "session_manifest")
-    return overlap.overlap_report(overlap.crossing_pairs(manifest), manifest)
+    return overlap.overlap_report(table(spark, sf_dir, "session_manifest"))
+
+
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_by_row(table(spark, sf_dir, "session_manifest"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +92,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_budget, p1_records, p1_answers, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_report,
+        p1_budget, p1_records, p1_answers, p2_found, p2_splits, p3_found, p3_rows, p3_report, p4_found, p4_report,
         p5_found, p5_pieces, p6_packed, p6_fill, p7_found, p7_report, p8_found, p8_evidence, p8_clean,
     )
 }
