@@ -193,6 +193,31 @@ def test_words():
 HOST = "study_site_web"
 
 
+def test_leaks_with_exchanged_and_missing_words_spread_over_the_passage(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(60)]
+    filler = lambda n: [word() for _ in range(n)]
+
+    def pattern(p, missing=False):
+        out = []
+        for i, w in enumerate(item):
+            if p[i % len(p)] == "x":
+                out.append(w)
+            elif not missing:
+                out.append(word())
+        return filler(150) + out + filler(300)
+
+    docs = [("xx_", True), ("xx_x_", True), ("xxx_x_", True), ("xxx_", True), ("x_x_x", True), ("x_", False), ("xx_x__", False), ("x__", False)]
+    rows = [(i, " ".join(pattern(p))) for i, (p, _) in enumerate(docs)] + [(50 + i, " ".join(pattern(p, True))) for i, (p, ok) in enumerate(docs) if ok]
+    mixed = list(item)
+    rng.shuffle(mixed)
+    rows += [(90, " ".join(filler(30) + mixed)), (91, " ".join(filler(700) + item)), (92, " ".join(item[:35])), (93, " ".join(x for w in item for x in (w, word())))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in leaks.leaked_items(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {i for i, (_, ok) in enumerate(docs) if ok} | {50 + i for i, (_, ok) in enumerate(docs) if ok} | {91}
+
+
 def test_residue(spark):
     real = "Right after the first trials, two raters compared the costly deck. The adapter kept the blue log file for 12 minutes. Most sessions were kept until the lamp kept flickering, and nobody checked the keys again that day."
     bad = [

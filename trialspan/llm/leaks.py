@@ -1,33 +1,35 @@
 """Evaluation passages in documents.
 
-Method: greedy string tiling. Documents and items are joined on shared runs of ``SEED`` words;
-for each pair that shares enough, the longest common runs are marked again and again with
-Karp-Rabin hashes until none of ``SEED`` words is left, and the tiles that lie in one stretch and
-in the item's order must cover enough of the item. An exact count of the words in common follows.
+Method: greedy string tiling. Documents and items are joined on shared tokens, counted in stretches
+of a document, which leaves no item out that could reach the share; for each pair that shares enough
+the longest common runs are marked again and again with Karp-Rabin hashes until none is left, and
+the tiles in the item's order must cover some of the item. An exact count of the words in common
+and in order follows, over every stretch that begins at a shared word.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspan.llm.words import words_of
 
-SEED = 3
+#: tiles are of so many words or more
+TILE = 2
 #: share of the item's words that must stand in the stretch
 SHARE = 0.6
-#: share that the tiles alone must cover, single exchanged words between them left out
-TILED = 0.45
+#: share that the tiles alone must cover. Where 0.6 of the words stand in order, neighbours among them make up
+#: at least 0.2 of the item, wherever the other words were exchanged or left out: this loses no case.
+TILED = 0.19
 #: the stretch may be so many times as long as the item
 STRETCH = 1.35
-#: items in one pass over the documents
-BLOCK = 2000
+#: items whose shared words are counted together, and code points of items that go along in one pass over the documents
+BLOCK, PASS = 2000, 64_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +45,7 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def tiles(item: list[int], stretch: list[int], least: int = SEED) -> list[tuple[int, int, int]]:
+def tiles(item: list[int], stretch: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping maximal common runs (item at, stretch at, length), the longest first.
 
     Ties are marked from the left. Both sequences are short: an item and a stretch of its size.
@@ -99,107 +101,140 @@ def common_in_order(size: int, places: list[int]) -> int:
     """Length of the longest common subsequence of an item of ``size`` words and a stretch, given as bits of places."""
     mask = row = (1 << size) - 1
     for x in places:
-        if x:
-            hit = row & x
-            row = (row + hit | row - hit) & mask
+        hit = row & x
+        row = (row + hit | row - hit) & mask
     return size - row.bit_count()
 
 
+class _Block:
+    """A block of items as word ids, with how often each item has each word."""
+
+    CAPPED = 2
+
+    def __init__(self, keys: list[int], items: list[np.ndarray]) -> None:
+        self.keys, self.items = keys, items
+        self.own = np.unique(np.concatenate(items))
+        self.counts = np.zeros((len(self.own) + 1, len(items)), np.uint8)  # the last row is that of all other words
+        for x, ids in enumerate(items):
+            word, n = np.unique(ids, return_counts=True)
+            self.counts[np.searchsorted(self.own, word), x] = np.minimum(n, 255)
+        self.by_item = np.ascontiguousarray(self.counts.T)
+        size = np.array([len(i) for i in items])
+        self.need = np.ceil(SHARE * size - 1e-9).astype(int)
+        self.span = (STRETCH * size).astype(int) + 1
+        self.step = int(self.span.max())
+        self.places = [places_of(i.tolist()) for i in items]
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """For each word of a document its row of ``counts``."""
+        at = np.searchsorted(self.own, ids)
+        at[at == len(self.own)] = 0
+        return np.where(self.own[at] == ids, at, len(self.own))
+
+    def leaked(self, ids: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
+        """(item, first word of the stretch, share tiled, share in common) of each item in the document.
+
+        A stretch is no longer than ``step``, so it lies within two steps that follow each other.
+        """
+        rows, last = self.rows(ids), len(self.own)
+        if (rows == last).all():
+            return
+        best: dict[int, tuple[float, float, int]] = {}
+        for start in range(0, max(1, len(rows) - self.step), self.step):
+            area = rows[start : start + 2 * self.step]
+            shared = self.counts[np.unique(area)].sum(axis=0, dtype=np.uint32)
+            may = np.nonzero(shared >= self.need)[0]
+            if not len(may):
+                continue
+            held, begins = self._begins(area, may)
+            for row in np.nonzero(begins.any(axis=1))[0].tolist():
+                x, at = int(may[row]), np.nonzero(held[row])[0]
+                found = self._stretch(x, ids[start : start + 2 * self.step], at, np.searchsorted(at, np.nonzero(begins[row])[0]))
+                if found:
+                    share, tiled, first = found
+                    best[x] = max(best.get(x, (0.0, 0.0, 0)), (share, tiled, -(start + first)))
+        for x, (share, tiled, first) in best.items():
+            yield self.keys[x], -first, tiled, share
+
+    def _begins(self, area: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For some items and each word of an area: whether the item has the word, and whether a stretch may begin there.
+
+        It may where the stretch holds enough words of the item, each counted no more often than the item
+        has it (a word that it has more than ``CAPPED`` times is counted freely: the bound stays a bound). All items
+        are counted together: the place of a word is left out of the stretches that reach from it back to
+        its place so many times before.
+        """
+        size, span = len(area), self.span[may][:, None]
+        times = self.by_item[may[:, None], area[None, :]]
+        held = times > 0
+        total = np.zeros((len(may), size + 1), np.int32)
+        np.cumsum(held, axis=1, out=total[:, 1:])
+        here = np.arange(size)
+        count = np.take_along_axis(total, np.minimum(here[None, :] + span, size), axis=1) - total[:, :size]
+        order = np.argsort(area, kind="stable")
+        pad, rows = int(span.max()), np.arange(len(may))[:, None]
+        change = np.zeros((len(may), size + pad + 1), np.int32)
+        for k in range(1, min(int(times.max()), self.CAPPED) + 1):
+            again = area[order[k:]] == area[order[:-k]]
+            place, before = order[k:][again], order[:-k][again]
+            near = place - before < pad
+            place, before = place[near], before[near]
+            if len(place):
+                left_out = (times[:, place] == k) & (place - before < span)
+                change[rows, place - span + 1 + pad] += left_out
+                change[rows, (before + 1 + pad)[None, :]] -= left_out
+        count -= np.cumsum(change, axis=1, out=change)[:, pad : pad + size]
+        return held, held & (count >= self.need[may][:, None])
+
+    def _stretch(self, x: int, words: np.ndarray, at: np.ndarray, begins: np.ndarray) -> tuple[float, float, int] | None:
+        """(share in common, share tiled, first word) of the best stretch, if it and its tiles cover enough."""
+        need, span = int(self.need[x]), int(self.span[x])
+        item = self.items[x]
+        n, where = len(item), self.places[x]
+        bits = [where[w] for w in words[at].tolist()]
+        ends = np.searchsorted(at, at + span)
+        if len(begins) > 4 and common_in_order(n, bits[begins[0] : ends[begins[-1]]]) < need:
+            return None
+        most, first = 0, 0
+        for j in begins.tolist():
+            common = common_in_order(n, bits[j : ends[j]])
+            if common > most:
+                most, first = common, int(at[j])
+        if most < need:
+            return None
+        tiled = ordered_cover(tiles(item.tolist(), words[first : first + span].tolist())) / n
+        return (most / n, tiled, first) if tiled >= TILED else None
+
+
 class _Items:
-    """A block of items as word ids, with the places of their runs of SEED words."""
+    """The items of a pass: one vocabulary, and blocks of items."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
-        rows = [(k, t) for k, t in rows if len(words_of(t)) >= SEED]
-        self.keys = [k for k, _ in rows]
-        self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-        self.offsets = np.append(0, np.cumsum([len(i) for i in self.ids])).astype(np.int64)
-        self.enough = np.array([TILED * len(i) for i in self.ids])
-        hashes, owner, place = [], [], []
-        for x, ids in enumerate(self.ids):
-            h = rolling(ids, SEED)
-            hashes.append(h), owner.append(np.full(len(h), x)), place.append(np.arange(len(h)))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(h, kind="stable")
-        self.owner, self.place = np.concatenate([np.zeros(0, np.int64), *owner])[order], np.concatenate([np.zeros(0, np.int64), *place])[order]
-        self.seeds, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-
-    def stretches(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item, the stretches of the document whose shared seeds could make up enough tiles."""
-        h = rolling(ids, SEED)
-        at = np.searchsorted(self.seeds, h)
-        at[at == len(self.seeds)] = 0
-        hit = np.nonzero(self.seeds[at] == h)[0] if len(self.seeds) else np.zeros(0, np.int64)
-        if not len(hit):
-            return {}
-        n = self.count[at[hit]]
-        spot = np.repeat(hit, n)
-        entry = np.repeat(self.first[at[hit]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        owner, place = self.owner[entry], self.place[entry]
-        covered = np.zeros(self.offsets[-1] + SEED, bool)
-        for j in range(SEED):
-            covered[self.offsets[owner] + place + j] = True
-        enough = np.add.reduceat(covered, self.offsets[:-1]) >= self.enough
-        out: dict[int, list[tuple[int, int]]] = {}
-        for x in np.unique(owner[enough[owner]]):
-            mine = owner == x
-            where, at_item, size = spot[mine], place[mine], len(self.ids[x])
-            wide, step = int(STRETCH * size) + 1 + size // 2, max(1, size // 2)
-            spans: list[tuple[int, int]] = []
-            starts = np.arange(int(where[0]) // step * step, int(where[-1]) + 1, step)
-            firsts, lasts = np.searchsorted(where, starts), np.searchsorted(where, starts + wide)
-            for w in np.nonzero(lasts - firsts >= self.enough[x] / SEED)[0]:
-                a, i, j = int(starts[w]), firsts[w], lasts[w]
-                places = np.zeros(size, bool)
-                for k in range(SEED):
-                    places[at_item[i:j] + k] = True
-                if places.sum() >= self.enough[x]:
-                    b = min(len(ids), a + wide + SEED)
-                    if spans and a <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], b)
-                    else:
-                        spans.append((a, b))
-            if spans:
-                out[int(x)] = spans
-        return out
+        new = self.vocabulary.setdefault
+        listed = [(k, np.array([new(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64)) for k, t in rows]
+        listed = sorted(((k, i) for k, i in listed if len(i) >= TILE), key=lambda x: len(x[1]))  # like lengths together
+        parts = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)]
+        self.blocks = [_Block([k for k, _ in part], [i for _, i in part]) for part in parts]
 
-    def leaked(self, ids: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
-        """(item, first word of the stretch, share tiled, share in common) of each item in the document."""
-        for x, spans in self.stretches(ids).items():
-            item = self.ids[x].tolist()
-            n, at, best = len(item), places_of(item), (0.0, 0.0, 0)
-            span, step = int(STRETCH * n) + 1, max(1, n // 4)
-            for a, b in spans:
-                area = ids[a:b].tolist()
-                bits = [at.get(w, 0) for w in area]
-                nearly = SHARE - 0.05  # a window between the steps may hold some words more
-                starts = [s for s in range(0, max(1, len(area) - span + step), step) if reduce(or_, bits[s : s + span]).bit_count() >= nearly * n]
-                share, s = max(((common_in_order(n, bits[s : s + span]) / n, s) for s in starts), default=(0.0, 0))
-                if share < nearly:
-                    continue
-                tiled = ordered_cover(tiles(item, area)) / n
-                if tiled >= TILED:
-                    share, s = max((common_in_order(n, bits[x : x + span]) / n, -x) for x in range(max(0, s - step), s + step + 1))
-                    best = max(best, (share, tiled, a - s))
-            if best[0] >= SHARE:
-                yield self.keys[x], best[2], best[1], best[0]
+    def leaked(self, words: list[str]) -> Iterator[tuple[int, int, float, float]]:
+        known = self.vocabulary.get
+        ids = np.array([known(w, 0) for w in words], np.int64)
+        for block in self.blocks:
+            yield from block.leaked(ids)
 
 
 _FOUND = "doc_id long, item_id long, first_word int, tiled double, share double"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("tiled", pa.float64()), ("share", pa.float64())])
 
 
-def _search(block: list[tuple[int, str]]):
+def _search(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(block)
-        known = items.vocabulary.get
+        items = _Items(sent.value)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([known(w, 0) for w in words_of(text)], np.int64)
-                unknown = ids == 0
-                ids[unknown] = -1 - np.nonzero(unknown)[0]
-                rows += [(doc, *found) for found in items.leaked(ids)]
+                rows += [(doc, *found) for found in items.leaked(words_of(text))]
             yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
 
     return run
@@ -209,22 +244,27 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of a document and an item of which at least ``SHARE`` of the words stand in one stretch of it, in order.
 
     Columns doc_id, item_id, first_word (where the stretch begins, in words), tiled and share.
-    The items are the stated query set: they are read in blocks of ``BLOCK``, each of which goes
-    over all documents, so what is sent to the executors is bounded. Every document stands for
-    itself, copies too. Null or empty texts and null ids on either side are in no pair, nor are items of fewer
-    than ``SEED`` words; repeated item rows with one id are compared each, and a pair is stated once.
+    The items are the stated query set: they go over all documents together, up to ``PASS`` code points
+    in one pass, so what is sent to the executors is bounded; a text is split to words once a pass.
+    Every document stands for itself, copies too. Null or empty texts and null ids on either side are in no pair,
+    nor are items of fewer than ``TILE`` words; repeated item rows with one id are compared each, and a pair is stated once.
     """
     spark: SparkSession = documents.sparkSession
     lean = documents.select(F.col("doc_id"), F.col("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     query = items.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    found, block = [], []
+    found, going, size = [], [], 0
+
+    def send() -> None:
+        found.append(lean.mapInArrow(_search(spark.sparkContext.broadcast(list(going))), _FOUND))
+
     for row in query.orderBy("item_id").toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == BLOCK:
-            found.append(lean.mapInArrow(_search(block), _FOUND))
-            block = []
-    if block:
-        found.append(lean.mapInArrow(_search(block), _FOUND))
+        if going and size + len(row.text) > PASS:
+            send()
+            going, size = [], 0
+        going.append((row.item_id, row.text))
+        size += len(row.text)
+    if going:
+        send()
     if not found:
         return spark.createDataFrame([], _FOUND)
     pairs = found[0]
