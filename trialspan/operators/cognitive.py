@@ -358,6 +358,12 @@ def _kept(df: DataFrame, key: str, kept: tuple[str, ...]) -> tuple[list[str], st
     return names, ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in names)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores: fits take seconds for kilobytes, so partitions of the usual size would be few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col(key))
+
+
 def _rows(batch: pa.RecordBatch, names: list[str], more: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(x, t) for x, t in more.values()]], names=[*names, *more])
 
@@ -384,7 +390,7 @@ def fit_sessions(df: DataFrame, key: str, trials: str, name: str, starts: int =
                 "status": (np.where(~held, "fit_failed", np.where(ok, "ok", "fit_not_converged")).tolist(), pa.string()),
             })
 
-    out = df.select(*names, trials).mapInArrow(run, f"{fields}, params array<double>, fun double, success boolean, n_trials int, per_trial array<double>, status string")
+    out = spread(df.select(*names, trials), key).mapInArrow(run, f"{fields}, params array<double>, fun double, success boolean, n_trials int, per_trial array<double>, status string")
     return out.withColumns({"model": F.lit(name), "metric": F.lit("in_sample")})
 
 
@@ -422,7 +428,7 @@ def holdout(df: DataFrame, key: str, trials: str, name: str, fit_trials: int | N
                 "eval_mean_nll": ([float(t / c) if z == "ok" else None for t, c, z in zip(told, rest.sum(axis=1), status, strict=True)], pa.float64()), "status": (status.tolist(), pa.string()),
             })
 
-    out = df.select(*names, trials).mapInArrow(run, f"{fields}, fit_trials int, n_eval int, params array<double>, fit_nll double, eval_mean_nll double, status string")
+    out = spread(df.select(*names, trials), key).mapInArrow(run, f"{fields}, fit_trials int, n_eval int, params array<double>, fit_nll double, eval_mean_nll double, status string")
     return out.withColumns({"model": F.lit(name), "metric": F.lit("temporal_holdout")})
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspan.operators.cognitive import PROVENANCE, Descent, Sessions, hash_folds, member_hash, model
+from trialspan.operators.cognitive import PROVENANCE, Descent, Sessions, hash_folds, member_hash, model, spread
 from trialspan.runtime import cut
 
 Fold = tuple[str, int]
@@ -79,7 +79,7 @@ def pooled_folds(df: DataFrame, key: str, unit: str, trials: str, group: str, na
     """
     fn, k = model(name)
     kept = [c for c in dict.fromkeys((key, *PROVENANCE, unit, group)) if c in df.columns]
-    assigned = cut(df.select(*kept, trials).join(hash_folds(df, unit, group, folds), [group, unit]))
+    assigned = cut(spread(df.select(*kept, trials).join(hash_folds(df, unit, group, folds), [group, unit]), key))
     held = assigned.select(group, unit, "fold", "group_size").distinct().groupBy(group, "fold").agg(F.count("*").alias("n_held"), F.first("group_size").alias("group_size"), member_hash(F.col(unit)).alias("eval_members"))
     sizes = held.collect()
     wanted = [(r[group], r["fold"]) for r in sizes if r["group_size"] - r["n_held"] >= least_train]

@@ -85,7 +85,7 @@ def orl_per_trial_nll(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: starts and steps of the registered fits
-STARTS, STEPS = 2, 40
+STARTS, STEPS = 1, 15
 
 
 def _people(spark: SparkSession, sf: str) -> DataFrame:
