@@ -121,3 +121,18 @@ def test_evenly_spread_edits_of_repetitive_sessions(spark):
     df = spark.createDataFrame([(*r, "e", "b", "c") for r in out], SCHEMA)
     got = {(r.row_id_a, r.row_id_b) for r in O.crossing_pairs(df).collect()}
     assert {(2 * i, 2 * i + 1) for i in range(150)} <= got
+
+
+def test_a_held_session_has_few_windows_and_few_bytes(spark):
+    """Each window of a held session is a row of the largest shuffle, and its trials are stored once."""
+    codes = O.whole_units(*(np.array([x[i] for x in session(100)]) for i in (1, 2)), np.array([0, 100]))
+    assert len(O.run_keys(codes, np.array([0, 100]), True)[0]) <= 100
+    df = spark.createDataFrame([(1, session(100), "test", "e", "b", "c")], SCHEMA)
+    assert len(O.coded_sessions(df).first().codes) < 400
+
+
+def test_equal_runs_alone_make_no_candidates(spark):
+    """Sessions of different trials that share stretches do not meet: their number would grow with the square of the sessions."""
+    streak, rng = [("A", 50.0, 0.0)] * 24, np.random.default_rng(2)
+    rows = [(i, [("A", float(g), float(x)) for g, x in rng.integers(0, 40, (76, 2))] + streak, "test" if i % 2 else "train", "e", "b", "c") for i in range(60)]
+    assert O.candidates(O.sequence_classes(O.coded_sessions(spark.createDataFrame(rows, SCHEMA)))).count() == 0
