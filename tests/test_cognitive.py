@@ -127,3 +127,23 @@ def test_pooled_folds_use_all_training_sessions(spark):
         assert rs[0].fit_nll == pytest.approx(C.pooled_total(C.pvl_delta(np.array(rs[0].params), train)))
         assert rs[0].fit_nll <= C.fit("pvl", train, starts=3, steps=150, seed=20260506)["fun"] * 1.01
     assert pooled_folds(df.limit(0), "k", "u", "trials", "experiment", "pvl").count() == 0
+
+
+def test_totals_of_many_vectors_equal_the_plain_model_and_cost_a_fraction():
+    import time
+
+    from trialspan.operators.pooled import pvl_totals
+
+    rng = np.random.default_rng(3)
+    listed = [[{"deck": str(rng.choice(list("ABCDX"))), "gain": float(rng.choice([0, 0.5, 1, 1.15, 90])), "loss": float(rng.choice([0, 0, 2.5, 12.5, 1250]) if i % 3 else rng.choice([0, 1.25]))} for _ in range(rng.integers(0, 90))] for i in range(300)]
+    s = C.Sessions.of([*listed, [], [{"deck": "X", "gain": 1.0, "loss": 0.0}] * 3])
+    vectors, (rows, fits) = rng.normal(0, 2, (4, 9, 4)), np.nonzero(np.arange(len(s.deck))[:, None] % 4 != np.arange(4))
+    began = time.perf_counter()
+    got = pvl_totals(vectors, s, rows, fits)
+    middle = time.perf_counter()
+    with np.errstate(all="ignore"):
+        nll = [[C.pvl_delta(v, s) for v in vs] for vs in vectors]
+    took = time.perf_counter() - middle
+    want = np.array([[C.total(nll[f][v][r]) for v in range(9)] for r, f in zip(rows, fits, strict=True)])
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    assert np.isinf(got[rows >= 301]).all() and middle - began < took
