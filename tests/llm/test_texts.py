@@ -299,3 +299,21 @@ def test_the_residue_filter_drops_no_match():
         texts += [made_match(tree, rng) for _ in range(60)]
     found = [list(residue._kind(t, None)) for t in texts]
     assert [list(residue._kind(t, anchors)) for t in texts] == found and sum(map(bool, found)) > len(texts) // 2
+
+
+def test_words_in_order_of_many_candidates_equal_the_plain_count():
+    """Items of over 64 and 128 words carry from one word of bits to the next; documents go together, with the same pairs as one by one."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate((2, 10, 63, 64, 65, 127, 128, 129, 200, 64))]
+    items = leaks._Items(rows)
+    (block,) = items.blocks
+    lanes = [(x, block.row_of[rng.choice(block.items[x], rng.integers(1, 300))]) for x in range(len(rows)) for _ in range(20)]
+    want = []
+    for x, words in lanes:
+        where = leaks.places_of(block.items[x].tolist())
+        want.append(leaks.common_in_order(len(block.items[x]), [where[w] for w in block.own[words].tolist()]))
+    assert block._common(lanes).tolist() == want
+    documents = [["other"], [], *[rows[i % 10][1].split()[:-1] + ["x", "y"] for i in range(12)]]
+    together = sorted(items.leaked(documents))
+    assert together == sorted((i, *found) for i, d in enumerate(documents) for _, *found in items.leaked([d])) and len(together) >= 10

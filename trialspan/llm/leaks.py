@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ TILED = 0.19
 STRETCH = 1.35
 #: items whose shared words are counted together, and code points of items that go along in one pass over the documents
 BLOCK, PASS = 2000, 64_000_000
+#: documents whose candidates are counted in order together, and candidates that are advanced together
+TOGETHER, LANES = 500, 4000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,6 +66,9 @@ def tiles(item: list[int], stretch: list[int], least: int = TILE) -> list[tuple[
         for i, j in seeds:
             if not (free_a[i] and free_b[j]):
                 continue
+            if i and j and item[i - 1] == stretch[j - 1] and free_a[i - 1] and free_b[j - 1]:
+                kept.append((i, j))  # within a run that is longer from its beginning
+                continue
             k = 0
             while i + k < len(item) and j + k < len(stretch) and item[i + k] == stretch[j + k] and free_a[i + k] and free_b[j + k]:
                 k += 1
@@ -114,6 +120,8 @@ class _Block:
     def __init__(self, keys: list[int], items: list[np.ndarray]) -> None:
         self.keys, self.items = keys, items
         self.own = np.unique(np.concatenate(items))
+        self.row_of = np.full(int(self.own[-1]) + 2, len(self.own))
+        self.row_of[self.own] = np.arange(len(self.own))
         self.counts = np.zeros((len(self.own) + 1, len(items)), np.uint8)  # the last row is that of all other words
         for x, ids in enumerate(items):
             word, n = np.unique(ids, return_counts=True)
@@ -123,87 +131,151 @@ class _Block:
         self.need = np.ceil(SHARE * size - 1e-9).astype(int)
         self.span = (STRETCH * size).astype(int) + 1
         self.step = int(self.span.max())
-        self.places = [places_of(i.tolist()) for i in items]
+        # of each item's each word the places where the item has it, as bits of words of 64; found by item and row of ``counts``
+        self.words = -(-int(size.max()) // 64)
+        of = np.repeat(np.arange(len(items)), size)
+        key = of * len(self.own) + np.searchsorted(self.own, np.concatenate(items))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        self.pairs, at = np.unique(key, return_inverse=True)
+        self.bits = np.zeros((self.words, len(self.pairs)), np.uint64)
+        np.bitwise_or.at(self.bits, (place // 64, at), np.uint64(1) << (place % 64).astype(np.uint64))
+        self.size = size
+        self.total = np.uint16 if self.step < 60_000 else np.uint32  # holds the words of an item
 
     def rows(self, ids: np.ndarray) -> np.ndarray:
         """For each word of a document its row of ``counts``."""
-        at = np.searchsorted(self.own, ids)
-        at[at == len(self.own)] = 0
-        return np.where(self.own[at] == ids, at, len(self.own))
+        return self.row_of.take(np.minimum(ids, len(self.row_of) - 1))
 
-    def leaked(self, ids: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
-        """(item, first word of the stretch, share tiled, share in common) of each item in the document.
+    def leaked(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, float]]:
+        """(document, item, first word of the stretch, share tiled, share in common) of each item in each document.
 
         A stretch is no longer than ``step``, so it lies within two steps that follow each other.
+        Words in common and in order are counted for all documents together: first from the first begin
+        to the last end, then from each begin of what is left.
         """
-        rows, last = self.rows(ids), len(self.own)
-        if (rows == last).all():
+        last = len(self.own)
+        areas: list[tuple[int, int, np.ndarray]] = []
+        some: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for doc, ids in enumerate(documents):
+            rows = self.rows(ids)
+            if (rows == last).all():
+                continue
+            for start in range(0, max(1, len(rows) - self.step), self.step):
+                area = rows[start : start + 2 * self.step]
+                seen = np.zeros(last + 1, bool)
+                seen[area] = True
+                shared = self.counts[np.nonzero(seen)[0]].sum(axis=0, dtype=self.total)
+                may = np.nonzero(shared >= self.need)[0]
+                if not len(may):
+                    continue
+                held, begins, before, until = self._begins(area, may)
+                rows_left = np.nonzero(begins.any(axis=1))[0]
+                if not len(rows_left):
+                    continue
+                held, begins = held[rows_left], begins[rows_left]
+                at, ats = np.nonzero(held)[1], np.cumsum([0, *held.sum(axis=1).tolist()]).tolist()
+                firsts = np.cumsum([0, *begins.sum(axis=1).tolist()]).tolist()
+                first, end, words = before[rows_left][begins], until[rows_left][begins], area[at]
+                for i, x in enumerate(may[rows_left].tolist()):
+                    own, of = slice(ats[i], ats[i + 1]), slice(firsts[i], firsts[i + 1])
+                    some.append((len(areas), x, words[own], first[of], end[of]))
+                    areas.append((doc, start, at[own]))
+        if not some:
             return
-        best: dict[int, tuple[float, float, int]] = {}
-        for start in range(0, max(1, len(rows) - self.step), self.step):
-            area = rows[start : start + 2 * self.step]
-            shared = self.counts[np.unique(area)].sum(axis=0, dtype=np.uint32)
-            may = np.nonzero(shared >= self.need)[0]
-            if not len(may):
+        whole = self._common([(x, words[first[0] : ends[-1]]) for _, x, words, first, ends in some])
+        some = [r for r, n in zip(some, whole.tolist(), strict=True) if n >= self.need[r[1]]]
+        each = self._common([(x, words[j:e]) for _, x, words, first, ends in some for j, e in zip(first.tolist(), ends.tolist(), strict=True)])
+        best: dict[tuple[int, int], tuple[float, float, int]] = {}
+        done = 0
+        for place, x, _, first, _ in some:
+            common = each[done : done + len(first)]
+            done += len(first)
+            most = int(common.max())
+            if most < self.need[x]:
                 continue
-            held, begins = self._begins(area, may)
-            for row in np.nonzero(begins.any(axis=1))[0].tolist():
-                x, at = int(may[row]), np.nonzero(held[row])[0]
-                found = self._stretch(x, ids[start : start + 2 * self.step], at, np.searchsorted(at, np.nonzero(begins[row])[0]))
-                if found:
-                    share, tiled, first = found
-                    best[x] = max(best.get(x, (0.0, 0.0, 0)), (share, tiled, -(start + first)))
-        for x, (share, tiled, first) in best.items():
-            yield self.keys[x], -first, tiled, share
-
-    def _begins(self, area: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For some items and each word of an area: whether the item has the word, and whether a stretch may begin there.
+            (doc, start, at), n = areas[place], int(self.size[x])
+            begin = start + int(at[first[int(common.argmax())]])
+            end = min(begin + int(self.span[x]), start + 2 * self.step)
+            tiled = ordered_cover(tiles(self.items[x].tolist(), documents[doc][begin:end].tolist())) / n
+            if tiled >= TILED:
+                best[doc, x] = max(best.get((doc, x), (0.0, 0.0, 0)), (most / n, tiled, -begin))
+        for (doc, x), (share, tiled, first) in best.items():
+            yield doc, self.keys[x], -first, tiled, share
+
+    def _common(self, lanes: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Length of the longest common subsequence of each item and some of its words, given as rows of ``counts``.
+
+        ``common_in_order`` for all lanes together, the longest first; a carry goes on to the next word of 64 bits.
+        """
+        out = np.zeros(len(lanes), np.int64)
+        length = np.array([len(w) for _, w in lanes], np.int64)
+        order = np.argsort(-length, kind="stable")
+        for at in range(0, len(order), LANES):
+            part = order[at : at + LANES]
+            n, x = length[part], np.array([lanes[i][0] for i in part.tolist()])
+            where = np.zeros((int(n[0]), len(part)), np.int64)
+            lane = np.repeat(np.arange(len(part)), n)
+            flat = np.concatenate([lanes[i][1] for i in part.tolist()])
+            where[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), lane] = np.searchsorted(self.pairs, x[lane] * len(self.own) + flat)
+            going = np.searchsorted(-n, -np.arange(len(where)), side="left").tolist()
+            words = -(-int(self.size[x].max()) // 64)
+            free = np.full((words, len(part)), ~np.uint64(0))
+            for j, a in enumerate(going):
+                carry = None
+                for k in range(words):
+                    row, hit = free[k, :a], self.bits[k].take(where[j, :a])
+                    rest = row & ~hit
+                    hit &= row
+                    hit += row
+                    over = hit < row
+                    if carry is not None:
+                        hit += carry
+                        over |= hit < carry
+                    if k + 1 < words:
+                        carry = over.astype(np.uint64)
+                    hit |= rest
+                    free[k, :a] = hit
+            size = self.size[x]
+            for k in range(words):
+                room = np.clip(size - 64 * k, 0, 64)
+                mask = np.where(room == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(room, 63).astype(np.uint64)) - np.uint64(1))
+                out[part] += room - np.bitwise_count(free[k] & mask)
+        return out
+
+    def _begins(self, area: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For some items and each word of an area: whether the item has the word, whether a stretch may begin there, and how many words of the item stand before it and before its end.
 
         It may where the stretch holds enough words of the item, each counted no more often than the item
         has it (a word that it has more than ``CAPPED`` times is counted freely: the bound stays a bound). All items
         are counted together: the place of a word is left out of the stretches that reach from it back to
         its place so many times before.
         """
-        size, span = len(area), self.span[may][:, None]
-        times = self.by_item[may[:, None], area[None, :]]
-        held = times > 0
+        size, times = len(area), self.by_item[may].take(area, axis=1)
+        held, here = times > 0, np.arange(size)
         total = np.zeros((len(may), size + 1), np.int32)
         np.cumsum(held, axis=1, out=total[:, 1:])
-        here = np.arange(size)
-        count = np.take_along_axis(total, np.minimum(here[None, :] + span, size), axis=1) - total[:, :size]
+        ends = np.minimum(here + self.span[may][:, None], size) + (np.arange(len(may)) * (size + 1))[:, None]
+        before, until = total[:, :size], total.ravel().take(ends)
+        count = until - before
+        begins = held & (count >= self.need[may][:, None])
+        left = np.nonzero(begins.any(axis=1))[0]  # the others cannot hold enough, however often a word counts
+        if not len(left):
+            return held, begins, before, until
+        times, span = times[left], self.span[may[left]]
         order = np.argsort(area, kind="stable")
-        pad, rows = int(span.max()), np.arange(len(may))[:, None]
-        change = np.zeros((len(may), size + pad + 1), np.int32)
+        ordered, pad = area[order], int(span.max())
+        width, add, take = size + pad + 1, [], []
         for k in range(1, min(int(times.max()), self.CAPPED) + 1):
-            again = area[order[k:]] == area[order[:-k]]
-            place, before = order[k:][again], order[:-k][again]
-            near = place - before < pad
-            place, before = place[near], before[near]
-            if len(place):
-                left_out = (times[:, place] == k) & (place - before < span)
-                change[rows, place - span + 1 + pad] += left_out
-                change[rows, (before + 1 + pad)[None, :]] -= left_out
-        count -= np.cumsum(change, axis=1, out=change)[:, pad : pad + size]
-        return held, held & (count >= self.need[may][:, None])
-
-    def _stretch(self, x: int, words: np.ndarray, at: np.ndarray, begins: np.ndarray) -> tuple[float, float, int] | None:
-        """(share in common, share tiled, first word) of the best stretch, if it and its tiles cover enough."""
-        need, span = int(self.need[x]), int(self.span[x])
-        item = self.items[x]
-        n, where = len(item), self.places[x]
-        bits = [where[w] for w in words[at].tolist()]
-        ends = np.searchsorted(at, at + span)
-        if len(begins) > 4 and common_in_order(n, bits[begins[0] : ends[begins[-1]]]) < need:
-            return None
-        most, first = 0, 0
-        for j in begins.tolist():
-            common = common_in_order(n, bits[j : ends[j]])
-            if common > most:
-                most, first = common, int(at[j])
-        if most < need:
-            return None
-        tiled = ordered_cover(tiles(item.tolist(), words[first : first + span].tolist())) / n
-        return (most / n, tiled, first) if tiled >= TILED else None
+            again = np.nonzero(ordered[k:] == ordered[:-k])[0]
+            place, prior = order[k:][again], order[:-k][again]
+            near = place - prior < pad
+            place, prior = place[near], prior[near]
+            row, at = np.nonzero((times.take(place, axis=1) == k) & ((place - prior) < span[:, None]))
+            add.append(row * width + place[at] - span[row] + 1 + pad)
+            take.append(row * width + prior[at] + 1 + pad)
+        change = (np.bincount(np.concatenate(add), minlength=len(left) * width) - np.bincount(np.concatenate(take), minlength=len(left) * width)).reshape(-1, width)
+        begins[left] &= count[left] - np.cumsum(change, axis=1)[:, pad : pad + size] >= self.need[may[left]][:, None]
+        return held, begins, before, until
 
 
 class _Items:
@@ -217,9 +289,10 @@ class _Items:
         parts = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)]
         self.blocks = [_Block([k for k, _ in part], [i for _, i in part]) for part in parts]
 
-    def leaked(self, words: list[str]) -> Iterator[tuple[int, int, float, float]]:
+    def leaked(self, documents: list[list[str]]) -> Iterator[tuple[int, int, int, float, float]]:
+        """(place of the document, item, first word, share tiled, share in common)."""
         known = self.vocabulary.get
-        ids = np.array([known(w, 0) for w in words], np.int64)
+        ids = [np.fromiter(map(known, words, repeat(0)), np.int64, len(words)) for words in documents]
         for block in self.blocks:
             yield from block.leaked(ids)
 
@@ -233,8 +306,9 @@ def _search(sent: Broadcast):
         items = _Items(sent.value)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, *found) for found in items.leaked(words_of(text))]
+            for at in range(0, batch.num_rows, TOGETHER):
+                docs, texts = (batch.column(i).slice(at, TOGETHER).to_pylist() for i in (0, 1))
+                rows += [(docs[i], *found) for i, *found in items.leaked([words_of(t) for t in texts])]
             yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
 
     return run
