@@ -1,6 +1,7 @@
 """Token counts, truncation, pieces, packing, leaks and residue on small inputs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -317,3 +318,46 @@ def test_words_in_order_of_many_candidates_equal_the_plain_count():
     documents = [["other"], [], *[rows[i % 10][1].split()[:-1] + ["x", "y"] for i in range(12)]]
     together = sorted(items.leaked(documents))
     assert together == sorted((i, *found) for i, d in enumerate(documents) for _, *found in items.leaked([d])) and len(together) >= 10
+
+
+def test_stretches_begin_where_a_plain_count_lets_them(monkeypatch):
+    """Items of one byte of counts and of two; documents go together, over borders of what is held at a time."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    often = np.array([12] * 3 + [1] * 37) / 73
+    for sizes in ((2, 3, 20, 21, 30, 40, 41, 60, 61, 62, 90), (20, 30, 280, 290, 400)):
+        rows = [(i, " ".join(rng.choice(vocabulary, n, p=often))) for i, n in enumerate(sizes)]
+        documents = [rng.choice([*vocabulary, *(f"x{i}" for i in range(15))], n) for n in (0, 1, 5, 700, 30, 1, 900)] + [np.array(["w0"] * 500), np.array(rows[-1][1].split() * 2)]
+        items = leaks._Items(rows)
+        (block,) = items.blocks
+        listed = [block.rows(np.array([items.vocabulary.get(w, 0) for w in d], np.int64)) for d in documents]
+        length = np.array([len(d) for d in listed])
+        want = set()
+        for group in block.alike:
+            for x in [x for x in range(len(sizes)) if group.first <= x and block.span[x] <= group.span and block.size[x] <= leaks.ALIKE * block.size[group.first]]:
+                own = Counter({w: int(n) for w, n in enumerate(block.by_item[x]) if n})
+                for d, at in zip(listed, (np.cumsum(length) - length).tolist(), strict=True):
+                    for p, w in enumerate(d.tolist()):
+                        if own[w] and (Counter(d[p : p + group.span].tolist()) & own).total() >= block.need[x]:
+                            want.add((at + p, x))
+        for held in (1, 700, leaks.HELD):
+            monkeypatch.setattr(leaks, "HELD", held)
+            got = list(zip(*(a.tolist() for a in block._begins(np.concatenate(listed), length)), strict=True))
+            assert set(got) == want and len(got) == len(want) > 100
+        monkeypatch.undo()
+        whole = sorted(items.leaked([d.tolist() for d in documents]))
+        monkeypatch.setattr(leaks, "LISTED", 10)
+        assert sorted(items.leaked([d.tolist() for d in documents])) == whole and whole
+        monkeypatch.undo()
+
+
+def test_a_word_counts_no_more_often_than_the_item_has_it(monkeypatch):
+    """Texts full of the words that an item repeats are no candidates: nothing of them is counted in order."""
+    item = [w for i in range(12) for w in ("the", "of", f"word{i}", f"other{i}", f"last{i}")]
+    counted = []
+    common = leaks._Block._common
+    monkeypatch.setattr(leaks._Block, "_common", lambda self, lanes: (counted.append(len(lanes)), common(self, lanes))[1])
+    items = leaks._Items([(1, " ".join(item))])
+    full = [w for i in range(60) for w in (*["the", "of"] * 5, "the", f"{('word', 'other', 'last')[i % 3]}{i // 3 % 12}")]
+    assert list(items.leaked([full])) == [] and sum(counted) == 0
+    assert [found[:2] for found in items.leaked([["the"] * 50 + item + ["of"] * 50])] == [(0, 1)] and sum(counted) > 0

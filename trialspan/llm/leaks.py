@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,14 @@ SHARE = 0.6
 TILED = 0.19
 #: the stretch may be so many times as long as the item
 STRETCH = 1.35
-#: items whose shared words are counted together, and code points of items that go along in one pass over the documents
-BLOCK, PASS = 2000, 64_000_000
+#: items whose shared words are counted together, entries of a table of their words, and code points of items that go along in one pass over the documents
+BLOCK, TABLE, PASS = 500, 1 << 24, 64_000_000
+#: items of a block whose lengths differ by no more are counted in windows of one length
+ALIKE = 1.35
 #: documents whose candidates are counted in order together, and candidates that are advanced together
 TOGETHER, LANES = 500, 4000
+#: words of documents that are listed together, and bytes of counts that are held at a time
+LISTED, HELD = 50_000, 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,22 +117,31 @@ def common_in_order(size: int, places: list[int]) -> int:
     return size - row.bit_count()
 
 
-class _Block:
-    """A block of items as word ids, with how often each item has each word."""
+class _Alike(NamedTuple):
+    """Items of a block that are of like lengths, with one length of window that holds a stretch of each."""
+
+    first: int
+    span: int
+    #: words that each item needs, and for the n-th time that a word comes up in a window whether each item has it so often (the first row has nothing), packed to 64 bits
+    need: np.ndarray
+    table: np.ndarray
 
-    CAPPED = 2
+
+class _Block:
+    """A block of items, the shortest first, as word ids, with how often each item has each word."""
 
     def __init__(self, keys: list[int], items: list[np.ndarray]) -> None:
         self.keys, self.items = keys, items
         self.own = np.unique(np.concatenate(items))
         self.row_of = np.full(int(self.own[-1]) + 2, len(self.own))
         self.row_of[self.own] = np.arange(len(self.own))
-        self.counts = np.zeros((len(self.own) + 1, len(items)), np.uint8)  # the last row is that of all other words
+        size = np.array([len(i) for i in items])
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32) if size.max() <= np.iinfo(t).max)  # holds the words of an item
+        counts = np.zeros((len(self.own) + 1, len(items)), kind)  # the last row is that of all other words
         for x, ids in enumerate(items):
             word, n = np.unique(ids, return_counts=True)
-            self.counts[np.searchsorted(self.own, word), x] = np.minimum(n, 255)
-        self.by_item = np.ascontiguousarray(self.counts.T)
-        size = np.array([len(i) for i in items])
+            counts[np.searchsorted(self.own, word), x] = n
+        self.by_item = np.ascontiguousarray(counts.T)
         self.need = np.ceil(SHARE * size - 1e-9).astype(int)
         self.span = (STRETCH * size).astype(int) + 1
         self.step = int(self.span.max())
@@ -140,7 +154,19 @@ class _Block:
         self.bits = np.zeros((self.words, len(self.pairs)), np.uint64)
         np.bitwise_or.at(self.bits, (place // 64, at), np.uint64(1) << (place % 64).astype(np.uint64))
         self.size = size
-        self.total = np.uint16 if self.step < 60_000 else np.uint32  # holds the words of an item
+        self.most = counts.max(axis=1).astype(np.int64)  # how often any item has a word
+        self.before = np.cumsum(self.most) - self.most  # rows of a table before those of a word
+        word = np.repeat(np.arange(len(self.most)), self.most)
+        nth = (np.arange(len(word)) - self.before[word] + 1).astype(kind)
+        self.alike: list[_Alike] = []
+        until = 0
+        while (first := until) < len(items):
+            until = int(np.searchsorted(size, ALIKE * size[first], side="right"))
+            wide = -(-(until - first) // 8) * 8
+            table, need = np.zeros((len(word) + 1, wide), kind), np.full(wide, np.iinfo(kind).max, kind)
+            table[1:, : until - first] = counts[word, first:until] >= nth[:, None]
+            need[: until - first] = self.need[first:until]
+            self.alike.append(_Alike(first, int(self.span[until - 1]), need, table.view(np.uint64)))
 
     def rows(self, ids: np.ndarray) -> np.ndarray:
         """For each word of a document its row of ``counts``."""
@@ -149,59 +175,60 @@ class _Block:
     def leaked(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, float]]:
         """(document, item, first word of the stretch, share tiled, share in common) of each item in each document.
 
-        A stretch is no longer than ``step``, so it lies within two steps that follow each other.
         Words in common and in order are counted for all documents together: first from the first begin
-        to the last end, then from each begin of what is left.
+        to the last end within a step, then from each begin of what is left.
         """
-        last = len(self.own)
-        areas: list[tuple[int, int, np.ndarray]] = []
-        some: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        some: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        part, listed = [], 0
         for doc, ids in enumerate(documents):
-            rows = self.rows(ids)
-            if (rows == last).all():
-                continue
-            for start in range(0, max(1, len(rows) - self.step), self.step):
-                area = rows[start : start + 2 * self.step]
-                seen = np.zeros(last + 1, bool)
-                seen[area] = True
-                shared = self.counts[np.nonzero(seen)[0]].sum(axis=0, dtype=self.total)
-                may = np.nonzero(shared >= self.need)[0]
-                if not len(may):
-                    continue
-                held, begins, before, until = self._begins(area, may)
-                rows_left = np.nonzero(begins.any(axis=1))[0]
-                if not len(rows_left):
-                    continue
-                held, begins = held[rows_left], begins[rows_left]
-                at, ats = np.nonzero(held)[1], np.cumsum([0, *held.sum(axis=1).tolist()]).tolist()
-                firsts = np.cumsum([0, *begins.sum(axis=1).tolist()]).tolist()
-                first, end, words = before[rows_left][begins], until[rows_left][begins], area[at]
-                for i, x in enumerate(may[rows_left].tolist()):
-                    own, of = slice(ats[i], ats[i + 1]), slice(firsts[i], firsts[i + 1])
-                    some.append((len(areas), x, words[own], first[of], end[of]))
-                    areas.append((doc, start, at[own]))
+            part.append((doc, self.rows(ids)))
+            listed += len(ids)
+            if listed >= LISTED or doc + 1 == len(documents):
+                some += self._candidates(part)
+                part, listed = [], 0
         if not some:
             return
-        whole = self._common([(x, words[first[0] : ends[-1]]) for _, x, words, first, ends in some])
+        whole = self._common([(x, words[first[0] : ends[-1]]) for _, x, words, first, ends, _ in some])
         some = [r for r, n in zip(some, whole.tolist(), strict=True) if n >= self.need[r[1]]]
-        each = self._common([(x, words[j:e]) for _, x, words, first, ends in some for j, e in zip(first.tolist(), ends.tolist(), strict=True)])
+        each = self._common([(x, words[j:e]) for _, x, words, first, ends, _ in some for j, e in zip(first.tolist(), ends.tolist(), strict=True)])
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
         done = 0
-        for place, x, _, first, _ in some:
+        for doc, x, _, first, _, begins in some:
             common = each[done : done + len(first)]
             done += len(first)
             most = int(common.max())
             if most < self.need[x]:
                 continue
-            (doc, start, at), n = areas[place], int(self.size[x])
-            begin = start + int(at[first[int(common.argmax())]])
-            end = min(begin + int(self.span[x]), start + 2 * self.step)
-            tiled = ordered_cover(tiles(self.items[x].tolist(), documents[doc][begin:end].tolist())) / n
+            n, begin = int(self.size[x]), int(begins[int(common.argmax())])
+            tiled = ordered_cover(tiles(self.items[x].tolist(), documents[doc][begin : begin + int(self.span[x])].tolist())) / n
             if tiled >= TILED:
                 best[doc, x] = max(best.get((doc, x), (0.0, 0.0, 0)), (most / n, tiled, -begin))
         for (doc, x), (share, tiled, first) in best.items():
             yield doc, self.keys[x], -first, tiled, share
 
+    def _candidates(self, part: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, item, words of it that the item has, first and end among these of each stretch, begins of the stretches) by steps of a document."""
+        part = [(doc, rows) for doc, rows in part if np.count_nonzero(rows < len(self.own)) >= self.need[0]]
+        if not part:
+            return
+        length = np.array([len(rows) for _, rows in part])
+        rows = np.concatenate([rows for _, rows in part])
+        start = np.cumsum(length) - length
+        at, item = self._begins(rows, length)
+        of = np.repeat(np.arange(len(part)), length)[at]
+        at -= start[of]
+        last = np.maximum(-(-(length - self.step) // self.step) - 1, 0)[of]
+        step = np.minimum(at // self.step, last)
+        order = np.lexsort((at, step, item, of))
+        at, item, of, step = at[order], item[order], of[order], step[order]
+        new = np.nonzero((np.diff(of) != 0) | (np.diff(item) != 0) | (np.diff(step) != 0))[0] + 1
+        for begins, x, k in zip(np.split(at, new), item[[0, *new]].tolist() if len(at) else (), of[[0, *new]].tolist() if len(at) else (), strict=False):
+            doc, own = part[k]
+            ends = np.minimum(begins + self.span[x], len(own))
+            words = own[begins[0] : ends[-1]]
+            held = np.nonzero(self.by_item[x].take(words))[0]
+            yield doc, x, words[held], np.searchsorted(held, begins - begins[0]), np.searchsorted(held, ends - begins[0]), begins
+
     def _common(self, lanes: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Length of the longest common subsequence of each item and some of its words, given as rows of ``counts``.
 
@@ -242,40 +269,51 @@ class _Block:
                 out[part] += room - np.bitwise_count(free[k] & mask)
         return out
 
-    def _begins(self, area: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For some items and each word of an area: whether the item has the word, whether a stretch may begin there, and how many words of the item stand before it and before its end.
+    def _begins(self, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in some documents, one behind the other, and items of which a stretch may begin there.
 
-        It may where the stretch holds enough words of the item, each counted no more often than the item
-        has it (a word that it has more than ``CAPPED`` times is counted freely: the bound stays a bound). All items
-        are counted together: the place of a word is left out of the stretches that reach from it back to
-        its place so many times before.
+        It may where the item has the word, and the window from there holds enough words of the item, each counted no
+        more often than the item has it. A window's count is that of the window before without the word that has left
+        it and with the word that has come, where the item has the one and the other so often as the window has. Eight items
+        or so are added at once as the bytes of a word of 64 bits: sums may run over, but no count that is left does.
         """
-        size, times = len(area), self.by_item[may].take(area, axis=1)
-        held, here = times > 0, np.arange(size)
-        total = np.zeros((len(may), size + 1), np.int32)
-        np.cumsum(held, axis=1, out=total[:, 1:])
-        ends = np.minimum(here + self.span[may][:, None], size) + (np.arange(len(may)) * (size + 1))[:, None]
-        before, until = total[:, :size], total.ravel().take(ends)
-        count = until - before
-        begins = held & (count >= self.need[may][:, None])
-        left = np.nonzero(begins.any(axis=1))[0]  # the others cannot hold enough, however often a word counts
-        if not len(left):
-            return held, begins, before, until
-        times, span = times[left], self.span[may[left]]
-        order = np.argsort(area, kind="stable")
-        ordered, pad = area[order], int(span.max())
-        width, add, take = size + pad + 1, [], []
-        for k in range(1, min(int(times.max()), self.CAPPED) + 1):
-            again = np.nonzero(ordered[k:] == ordered[:-k])[0]
-            place, prior = order[k:][again], order[:-k][again]
-            near = place - prior < pad
-            place, prior = place[near], prior[near]
-            row, at = np.nonzero((times.take(place, axis=1) == k) & ((place - prior) < span[:, None]))
-            add.append(row * width + place[at] - span[row] + 1 + pad)
-            take.append(row * width + prior[at] + 1 + pad)
-        change = (np.bincount(np.concatenate(add), minlength=len(left) * width) - np.bincount(np.concatenate(take), minlength=len(left) * width)).reshape(-1, width)
-        begins[left] &= count[left] - np.cumsum(change, axis=1)[:, pad : pad + size] >= self.need[may[left]][:, None]
-        return held, begins, before, until
+        total, until = len(rows), np.cumsum(length)
+        own = np.nonzero(rows < len(self.own))[0]
+        apart = own + np.repeat(np.arange(len(length)) * self.step, length)[own]  # no window holds words of two documents
+        key = rows[own] * (int(apart[-1]) + self.step + 1) + apart
+        order = np.argsort(key)
+        key, place = key[order], own[order]
+        here, most, before = np.arange(len(key)), self.most[rows[place]], self.before[rows[place]]
+        until = np.repeat(until, length)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for first, span, need, table in self.alike:
+            back = np.searchsorted(key, key - span, side="right")  # the first of the same word in a window that ends with it
+            rank = here - back + 1
+            comes, leaves = np.zeros(total, np.int64), np.zeros(total, np.int64)
+            comes[place] = np.where(rank <= most, before + rank, 0)
+            rank = np.cumsum(np.bincount(back, minlength=len(key))) - here
+            leaves[place] = np.where(rank <= most, before + rank, 0)
+            ends = np.minimum(np.arange(total) + span, until) - 1
+            so_far, size = np.zeros(table.shape[1], np.uint64), max(span, HELD // (8 * table.shape[1]))
+            for a in range(0, total, size):
+                b = min(a + size, total)
+                come = table.take(comes[a : b + span], axis=0)
+                np.cumsum(come, axis=0, out=come)
+                gone = np.zeros((b - a + 1, table.shape[1]), np.uint64)
+                np.cumsum(table.take(leaves[a:b], axis=0), axis=0, out=gone[1:])
+                count = come.take(ends[a:b] - a, axis=0)
+                count += so_far
+                count -= gone[:-1]
+                so_far += come[b - a - 1] - gone[-1]
+                enough = (count.view(need.dtype) >= need).reshape(-1, 8)
+                eight = np.flatnonzero(enough.view(np.uint64))
+                which = np.flatnonzero(enough[eight])
+                at, x = np.divmod(eight[which // 8] * 8 + which % 8, len(need))
+                at, x = at + a, x + first
+                held = self.by_item[x, np.minimum(rows[at], len(self.own) - 1)] > 0
+                held &= rows[at] < len(self.own)
+                found.append((at[held], x[held]))
+        return np.concatenate([at for at, _ in found]), np.concatenate([x for _, x in found])
 
 
 class _Items:
@@ -286,7 +324,13 @@ class _Items:
         new = self.vocabulary.setdefault
         listed = [(k, np.array([new(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64)) for k, t in rows]
         listed = sorted(((k, i) for k, i in listed if len(i) >= TILE), key=lambda x: len(x[1]))  # like lengths together
-        parts = [listed[i : i + BLOCK] for i in range(0, len(listed), BLOCK)]
+        parts, words = [], 0
+        for one in listed:
+            words += len(one[1])
+            if not parts or len(parts[-1]) == BLOCK or (len(parts[-1]) + 1) * words > TABLE:
+                parts.append([])
+                words = len(one[1])
+            parts[-1].append(one)
         self.blocks = [_Block([k for k, _ in part], [i for _, i in part]) for part in parts]
 
     def leaked(self, documents: list[list[str]]) -> Iterator[tuple[int, int, int, float, float]]:
